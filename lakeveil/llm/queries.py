@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import language, mixing, quality, secrets, sharding, token_counts
+from . import language, mixing, quality, secrets, sharding, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
-    own = (op2_mix_sources, op4_quality_rules, op5_shard_documents, op6_language_id, op7_secret_scan, op9_token_counts)
+    own = (op2_mix_sources, op4_quality_rules, op5_shard_documents, op6_language_id, op7_secret_scan, op9_token_counts, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 
