@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import chunks, gram_hash, prefix, ranges, span_hash, utf8, words
@@ -88,7 +88,7 @@ def keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """id as ``d`` (the largest long for null, so that it comes after all others), a hash of the text as
     ``h``, which tells rows with one id apart, and the text as ``t`` (empty for null)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("h"), t.alias("t"), F.col(id_col).alias("id"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(t).alias("h"), t.alias("t"))
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -96,7 +96,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def segment_rows(rows: DataFrame, kind: Windows, bits: int) -> DataFrame:
-    """d, h, start, n, anchor and content of the segments whose anchor the sketch estimates as repeated."""
+    """d, h, start, n, anchor and content of the segments whose anchor the sketch estimates as repeated, and
+    ``own``: whether the same text has an equal segment before."""
 
     def parts(batch: pa.RecordBatch, column: int):
         offsets, data = utf8(batch.column(column))
@@ -115,21 +116,27 @@ def segment_rows(rows: DataFrame, kind: Windows, bits: int) -> DataFrame:
             for lo, s in parts(batch, 2):
                 ok = at_least_two(found.value, s.anchor, bits)
                 at = s.text[ok] + lo
+                order = np.lexsort((s.start[ok], s.content[ok], at))
+                same = (s.content[ok][order[1:]] == s.content[ok][order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+                own = np.zeros(len(at), bool)
+                own[order[1:][same]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(texts[at]), pa.array(s.start[ok].astype(np.int32)), pa.array(s.count[ok].astype(np.int32)), _signed(s.anchor[ok]), _signed(s.content[ok])], names=["d", "h", "start", "n", "anchor", "content"]
+                    [pa.array(ids[at]), pa.array(texts[at]), pa.array(s.start[ok].astype(np.int32)), pa.array(s.count[ok].astype(np.int32)), _signed(s.anchor[ok]), _signed(s.content[ok]), pa.array(own)], names=["d", "h", "start", "n", "anchor", "content", "own"]
                 )
 
-    return rows.select("d", "h", "t").mapInArrow(emit, "d bigint, h bigint, start int, n int, anchor bigint, content bigint")
+    return rows.select("d", "h", "t").mapInArrow(emit, "d bigint, h bigint, start int, n int, anchor bigint, content bigint, own boolean")
 
 
-def sort_out(found: DataFrame, place: Column) -> DataFrame:
-    """Segments that matter: ``covered`` (equal to an earlier one by ``place``) or ``shared``, the number
-    of segments of different content at the anchor of a first segment, where there are two or more."""
-    firsts = found.groupBy("content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.min("anchor").alias("anchor"))
+def sort_out(found: DataFrame, within: bool) -> DataFrame:
+    """Segments that matter: ``covered`` (equal to one of a smaller d or, if ``within``, to one before in
+    the same text) or ``shared``, the number of segments of different content at the anchor of a first
+    segment, where there are two or more."""
+    firsts = found.groupBy("content").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times"), F.min("anchor").alias("anchor"))
     anchors = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
     known = firsts.join(anchors, "anchor", "left").where("times > 1 or shared > 1").select("content", "first", "shared")
+    covered = (F.col("d") > F.col("first")) | (F.col("own") if within else F.lit(False))
     joined = found.join(known, "content")
-    return joined.select("d", "h", "start", "n", "anchor", (place > F.col("first")).alias("covered"), F.col("shared")).where("covered or shared is not null")
+    return joined.select("d", "h", "start", "n", "anchor", covered.alias("covered"), F.col("shared")).where("covered or shared is not null")
 
 
 def by_row(found: DataFrame, *columns: str) -> DataFrame:
@@ -139,8 +146,10 @@ def by_row(found: DataFrame, *columns: str) -> DataFrame:
 
 def finish(rows: DataFrame, spans: DataFrame, id_type: str, schema: str, describe: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[pa.Array]]) -> DataFrame:
     """``describe`` over every row of ``rows`` with the start and number of its covered windows (d, h,
-    start, n in ``spans``); ``schema`` holds the columns after the id."""
-    both = rows.join(by_row(spans, "start", "n"), ["d", "h"], "left").select("id", "t", F.col("parts.start").alias("starts"), F.col("parts.n").alias("counts"))
+    start, n in ``spans``); ``schema`` holds the columns after the id. ``rows`` is joined by the columns
+    that the single windows were, so that its texts are exchanged once."""
+    own = F.when(F.col("d") != F.lit((1 << 63) - 1), F.col("d")).cast(id_type).alias("id")
+    both = rows.join(by_row(spans, "start", "n"), ["d", "h"], "left").select(own, "t", F.col("parts.start").alias("starts"), F.col("parts.n").alias("counts"))
     names = ["id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

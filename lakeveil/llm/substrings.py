@@ -22,7 +22,7 @@ from .repeats import Windows, by_row, explode_parts, finish, keyed, segment_rows
 
 def repeated_windows(rows: DataFrame, kind: Windows, bits: int) -> DataFrame:
     """d, h, start and n of the windows whose words also start in a row with a smaller d."""
-    found = sort_out(segment_rows(rows, kind, bits), F.col("d"))
+    found = sort_out(segment_rows(rows, kind, bits), within=False)
     rest = by_row(found.where("not covered and shared is not null"), "start", "n")
     own = rest.join(rows.select("d", "h", "t"), ["d", "h"]).select("d", "h", "t", F.col("parts.start").alias("starts"), F.col("parts.n").alias("counts"))
 
