@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """A checkpoint of ``frame`` in spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a new temporary folder is used."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, as the session names it. Only where that is unset, as in tests on one machine,
+    a new temporary folder is used."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir", None) or frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """``frame`` with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()

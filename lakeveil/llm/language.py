@@ -121,3 +121,18 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text leaves 1 modulo 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text gets a language; nothing is shuffled."""
+    names, column = sorted(profiles), docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([profiles[n] for n in names]) if names else np.zeros((0, BINS), np.int32)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                said, _ = predict(part.column(column).to_pylist(), *shared.value)
+                yield part.filter(pa.array([name != "und" for name in said]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import language, mixing, quality, secrets, sharding, simhash, substrings, suffixes, token_counts
+from . import decontaminate, language, mixing, quality, secrets, sharding, simhash, substrings, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rates = mixing.mix(docs, label_domains(labels), TARGETS)
@@ -76,7 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_mix_sources, op3_simhash_dedup, op4_quality_rules, op5_shard_documents, op6_language_id, op7_secret_scan, op8_suffix_dedup, op9_token_counts, op10_substring_dedup)
+    own = (op1_decontaminate, op2_mix_sources, op3_simhash_dedup, op4_quality_rules, op5_shard_documents, op6_language_id, op7_secret_scan, op8_suffix_dedup, op9_token_counts, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 

@@ -46,16 +46,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(ends), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *more: str) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and further columns of every row."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 found = np.array([fingerprint(t) for t in batch.column(1).slice(lo, 500).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(found.view(np.int64))], names=["id", "fp"])
+                others = [batch.column(2 + k).slice(lo, 500) for k in range(len(more))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(found.view(np.int64)), *others], names=["id", "fp", *more])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(take, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more]
+    return docs.select(F.col(id_col).alias("id"), F.col(text), *more).mapInArrow(take, ", ".join([f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint", *kinds]))
 
 
 def _keys(name: str, values):
@@ -179,18 +181,28 @@ def links(prints: DataFrame, most: int = 1000) -> DataFrame:
     return met.where("b is not null").unionByName(ball.mapInArrow(_firsts, "a bigint, b bigint").distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = 1000, *more: str) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id (the least id that links reach, its own
-    included) of every row.
+    included) of every row, and further columns ``more``.
 
     A null or empty text has fingerprint zero and is linked like any other. Repeated rows give repeated
     results; a null id stays null and is never a component_id unless its component has no other; an
     empty table gives an empty table; other columns are not read."""
-    prints = durable(fingerprints(docs, text, id_col))
+    prints = durable(fingerprints(docs, text, id_col, *more))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     labels = connected(links(prints, most))
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(known, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+    return prints.join(known, "fp").select(F.col("id").alias(id_col), hexed, "component_id", *more)
+
+
+def keep_firsts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = 1000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the least of their component; of rows that share
+    both id and component one stays. Null ids count as one id, after all others."""
+    own = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    found = near_duplicates(own, text, "__id", most, "__text")
+    firsts = found.where("__id = component_id").groupBy("__id", "component_id").agg(F.min("__text").alias("__text"))
+    joined = own.join(firsts.select("__id", "__text"), ["__id", "__text"], "left_semi")
+    return joined.dropDuplicates(["__id", "__text"]).select(*docs.columns)
