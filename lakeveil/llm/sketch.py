@@ -40,10 +40,12 @@ def repeated_bits(frame: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np
                 cell = cell[first]
                 cut = np.searchsorted(cell, np.arange((1 << BLOCK_BITS) + 1) << block)
                 used = [k for k in range(1 << BLOCK_BITS) if cut[k + 1] > cut[k]]
-                # A cell's place within its block, with the sign bit for "twice here".
-                packed = [((cell[cut[k] : cut[k + 1]] & ((1 << block) - 1)) | (many[cut[k] : cut[k + 1]].astype(np.int64) << 31)).astype(np.uint32).tobytes() for k in used]
+                # Steps from each cell to the next, which two bytes hold where cells are dense; and what occurs twice here.
+                steps = [np.diff(cell[cut[k] : cut[k + 1]], prepend=k << block) for k in used]
+                packed = [x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32).tobytes() for x in steps]
+                twice = [np.packbits(many[cut[k] : cut[k + 1]]).tobytes() for k in used]
                 if used:
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["row", "block", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([len(x) for x in steps], pa.int32()), pa.array(packed, pa.binary()), pa.array(twice, pa.binary())], names=["row", "block", "n", "steps", "twice"])
 
         count = 0
         for batch in batches:
@@ -58,18 +60,17 @@ def repeated_bits(frame: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row, k, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                cell = np.frombuffer(packed, np.uint32)
+            for row, k, n, steps, twice in zip(*(c.to_pylist() for c in batch.columns)):
+                place = np.cumsum(np.frombuffer(steps, np.uint16 if len(steps) == 2 * n else np.uint32), dtype=np.int64)
                 at = (row, k)
                 if at not in sums:
                     sums[at] = np.zeros(1 << block, np.uint8)
-                place = cell & np.uint32((1 << block) - 1)
-                sums[at][place] = np.minimum(2, sums[at][place] + 1 + (cell >> np.uint32(31)).astype(np.uint8))
+                sums[at][place] = np.minimum(2, sums[at][place] + 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=n))
         for (row, k), counters in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([np.packbits(counters >= 2).tobytes()], pa.binary())], names=["row", "block", "bits"])
 
     out = np.zeros((ROWS, width // 8), np.uint8)
-    parts = frame.mapInArrow(sketch, "row int, block int, cells binary")
+    parts = frame.mapInArrow(sketch, "row int, block int, n int, steps binary, twice binary")
     for r in parts.repartition("row", "block").mapInArrow(merge, "row int, block int, bits binary").toLocalIterator():
         out[r["row"], r["block"] << (block - 3) : (r["block"] + 1) << (block - 3)] = np.frombuffer(r["bits"], np.uint8)
     return out
