@@ -78,7 +78,11 @@ def rate(steps: list[np.ndarray]) -> Column:
     if not steps:
         return F.lit(1.0)
     history = F.from_json(F.lit(str([[float(v) for v in s] for s in steps])), "array<array<double>>")
-    dot = lambda s: F.aggregate(F.arrays_zip(s.alias("s"), F.col("posterior").alias("p")), F.lit(0.0), lambda a, x: a + x["s"] * x["p"])
+
+    def dot(s: Column) -> Column:
+        parts = [s[k] * F.col("posterior")[k] for k in range(len(steps[0]))]
+        return sum(parts[1:], parts[0])
+
     return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
