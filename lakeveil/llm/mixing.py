@@ -42,7 +42,7 @@ class DomainModel:
     sharpness: float
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text", id_col: str = "doc_id", fit_rows: int = 10_000, sharpness: float = 20.0) -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text", id_col: str = "doc_id", fit_rows: int = 10_000, sharpness: float = 60.0) -> DomainModel:
     """Word counts by domain over at most ``fit_rows`` labelled rows (those with the least hash of their
     id). Rows with a null id or domain are not used; an id with two domains counts for the first one."""
     chosen = labelled.select(F.col(id_col).alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
@@ -56,7 +56,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", te
     logs = np.array([[np.log((r["m"].get(b, 0) + 0.5) / (r["n"] + 0.5 * size)) for b in range(size)] for r in table])
     logs -= logs.mean(axis=0)
     weights = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("__bucket"), F.element_at(F.from_json(F.lit(str(np.round(logs.T, 6).tolist())), "array<array<double>>"), (F.col("id") + 1).cast("int")).alias("__w"))
-    return DomainModel(names, [-float(np.log(len(names)))] * len(names), weights, sharpness)
+    return DomainModel(names, [float(np.log(r["n"] / sum(x["n"] for x in table))) for r in table], weights, sharpness)
 
 
 def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: str = "text") -> DataFrame:

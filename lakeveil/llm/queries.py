@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Weights of the mixture by domain of the labels: fit text, unfit text, toxic text.
-TARGETS = {"good": 0.93, "junk": 0.05, "toxic": 0.02}
+TARGETS = {"good": 0.8, "junk": 0.12, "toxic": 0.08}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
