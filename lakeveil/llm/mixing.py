@@ -1,15 +1,16 @@
 """Soft-membership mixing to target weights; DataFrame operations only.
 
-1. A naive Bayes classifier over ``2**BITS`` hashed words is counted from a labelled table with one grouped
-   aggregation. A text's evidence is tempered (the mean log-odds of its words times ``sharpness``), so that
-   long texts keep soft posteriors.
+1. A naive Bayes classifier over words in ``2**BITS`` hashed buckets is fitted on a bounded number of rows of a
+   labelled table. It counts rows that have a word, not the word's occurrences, and uses only words whose
+   share of a domain's rows is far from that domain's share of all rows (``least_z`` standard deviations).
+   Without that choice the many words that tell nothing outweigh the few that do.
 2. Every row gets a posterior over the domains.
-3. Document rates r >= 0 minimise the sum of (S_d(r) - T_d)^2 / T_d, where S_d(r) = sum of r * tokens *
-   posterior_d over all rows and T_d = weight_d * all tokens (T_d of at least 1 percent in the divisor).
-   Projected gradient steps start from r = 1 and are scaled by each row's tokens (a diagonal metric, in
-   which the projection is still max(0, .)); the step is one over the largest eigenvalue of the weighted
-   Gram matrix. A step needs only the D totals S_d, which Spark aggregates; a row's rate
-   is a fold over the steps' D-vectors, so no table is rewritten between steps.
+3. Document rates r >= 0 minimise (S(r) - T)' M (S(r) - T), where S_d(r) = sum of r * tokens * posterior_d over
+   all rows, T_d = weight_d * all tokens and M is the inverse of the Gram matrix of the posteriors, so that
+   correlated domains don't slow the descent. Projected gradient steps start from r = 1 and are scaled by
+   each row's tokens (a diagonal metric, in which the projection is still max(0, .)); in that metric the
+   largest eigenvalue is one, and so is the step. A step needs only the D totals S_d, which Spark
+   aggregates; a row's rate is a fold over the steps' D-vectors, so no table is rewritten between steps.
 4. A row is then repeated floor(rate) times, and once more with the rest as probability (by a hash of its id).
 """
 
@@ -23,51 +24,73 @@ from pyspark.sql import functions as F
 
 from .checkpoints import durable
 
-BITS = 12
+BITS = 16
 
 
-def _word_buckets(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each word: the kept columns and its bucket."""
-    cut = docs.select(*keep, F.explode(F.split(F.lower("__text"), "[\\x20\\x09-\\x0D]+")).alias("__word")).where("__word != ''")
-    return cut.select(*keep, F.pmod(F.xxhash64("__word"), F.lit(1 << BITS)).cast("int").alias("__bucket"))
+def _words(text: Column) -> Column:
+    """Lower-cased words; a run of symbols is a word of its own."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+|(?<![#*$%&])(?=[#*$%&])"), "")
+
+
+def _buckets(words: Column) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << BITS)).cast("int"))
+
+
+def _constant(values: list, kind: str) -> Column:
+    """An array literal of a bounded list."""
+    return F.expr(f"cast(array({', '.join(f'{v}D' if isinstance(v, float) else str(v) for v in values)}) as array<{kind}>)")
 
 
 @dataclass
 class DomainModel:
-    """Domains in order, log priors, and an array of each bucket's log-likelihoods by domain."""
+    """Domains in order, log priors, the buckets in use, and their log-likelihood ratios by domain."""
 
     domains: list[str]
     prior: list[float]
-    weights: DataFrame | None
-    sharpness: float
+    buckets: list[int]
+    weights: list[list[float]]
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text", id_col: str = "doc_id", fit_rows: int = 10_000, sharpness: float = 60.0) -> DomainModel:
-    """Word counts by domain over at most ``fit_rows`` labelled rows (those with the least hash of their
-    id). Rows with a null id or domain are not used; an id with two domains counts for the first one."""
+def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text", id_col: str = "doc_id", fit_rows: int = 10_000, most_words: int = 2000, least_z: float = 6.0, least_rows: int = 5, shrink: float = 10.0) -> DomainModel:
+    """Counts of rows by word and domain over at most ``fit_rows`` labelled rows (those with the least hash
+    of their id). Rows with a null id or domain are not used; an id with two domains counts for the first.
+
+    A word is used if at least ``least_rows`` rows have it and a domain's count of it is ``least_z`` standard
+    deviations off; at most ``most_words`` are, those furthest off. Counts are shrunk to the domains' shares
+    as if ``shrink`` more rows had the word."""
     chosen = labelled.select(F.col(id_col).alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
-    counts = _word_buckets(rows, ["__domain"]).groupBy("__domain", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    table = counts.groupBy("__domain").agg(F.sum("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__bucket", "__n"))).alias("m")).orderBy("__domain").collect()  # at most 2**BITS numbers a domain
-    if not table:
-        return DomainModel([], [], None, sharpness)
-    names, size = [r["__domain"] for r in table], 1 << BITS
-    logs = np.array([[np.log((r["m"].get(b, 0) + 0.5) / (r["n"] + 0.5 * size)) for b in range(size)] for r in table])
-    logs -= logs.mean(axis=0)
-    weights = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("__bucket"), F.element_at(F.from_json(F.lit(str(np.round(logs.T, 6).tolist())), "array<array<double>>"), (F.col("id") + 1).cast("int")).alias("__w"))
-    return DomainModel(names, [float(np.log(r["n"] / sum(x["n"] for x in table))) for r in table], weights, sharpness)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = durable(rows.select("__domain", F.array_distinct(_buckets(_words(F.col("__text")))).alias("__b")))
+    counted = rows.groupBy("__domain").count().orderBy("__domain").collect()  # one row a domain
+    names, share = [r["__domain"] for r in counted], [r["count"] / sum(x["count"] for x in counted) for r in counted]
+    if len(names) < 2:
+        return DomainModel(names, [0.0] * len(names), [], [[] for _ in names])
+    counts = rows.select("__domain", F.explode("__b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("__domain") == d).alias(f"c{k}") for k, d in enumerate(names)))
+    off = F.greatest(*(F.abs(F.col(f"c{k}") - F.col("n") * q) / F.sqrt(F.col("n") * q * (1 - q)) for k, q in enumerate(share)))
+    told = counts.where(F.col("n") >= least_rows).withColumn("off", off).where(F.col("off") >= least_z)
+    weight = [F.log((F.col(f"c{k}") + shrink * q) / (F.col("n") + shrink) / q).alias(f"w{k}") for k, q in enumerate(share)]
+    table = told.select("bucket", "off", *weight).orderBy(F.desc("off"), "bucket").limit(most_words).collect()
+    return DomainModel(names, [float(np.log(q)) for q in share], [r["bucket"] for r in table], [[round(r[f"w{k}"], 6) for r in table] for k in range(len(names))])
 
 
 def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: str = "text") -> DataFrame:
     """``row_key``, ``tokens`` (words) and ``posterior`` (array over the model's domains) by distinct row key.
 
-    A text without words has the prior. Words are summed up where they are read; only sums are shuffled."""
+    A text without telling words has the prior. Evidence is summed up where the text is read; only a few
+    numbers for each row are shuffled."""
     d = len(model.domains)
-    rows = docs.select(*row_key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    words = _word_buckets(rows, row_key).join(F.broadcast(model.weights), "__bucket")
-    sums = words.groupBy(*row_key).agg(F.count(F.lit(1)).alias("tokens"), *(F.sum(F.col("__w")[k]).alias(f"__s{k}") for k in range(d)))
-    logit = [F.col(f"__s{k}") / F.col("tokens") * model.sharpness + model.prior[k] for k in range(d)]
+    rows = docs.select(*row_key, _words(F.col(text)).alias("__words"))
+    told = _constant(model.buckets, "int")
+    places = F.transform(F.array_intersect(_buckets(F.col("__words")), told), lambda b: F.array_position(told, b).cast("int"))
+    rows = rows.select(*row_key, F.size("__words").cast("long").alias("__n"), places.alias("__at"))
+
+    def evidence(weights: list[float]) -> Column:
+        return F.aggregate("__at", F.lit(0.0), lambda total, place: total + F.element_at(_constant(weights, "double"), place))
+
+    rows = rows.select(*row_key, "__n", *(evidence(w).alias(f"__e{k}") for k, w in enumerate(model.weights)))
+    sums = rows.groupBy(*row_key).agg(F.sum("__n").alias("tokens"), *(F.sum(f"__e{k}").alias(f"__s{k}") for k in range(d))).where("tokens > 0")
+    logit = [F.col(f"__s{k}") + model.prior[k] for k in range(d)]
     top = F.greatest(*logit) if d > 1 else logit[0]
     odds = [F.exp(x - top) for x in logit]
     return sums.select(*row_key, "tokens", F.array(*(o / sum(odds[1:], odds[0]) for o in odds)).alias("posterior"))
@@ -98,8 +121,7 @@ def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 40, to
     if not total:
         return [], goal
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / total
-    weight = 1.0 / np.maximum(goal, 0.01)
-    step = 1.0 / float(np.linalg.eigvalsh(g * np.sqrt(weight)[:, None] * np.sqrt(weight))[-1])
+    metric = np.linalg.inv(g + np.eye(d) * 1e-6)
     steps: list[np.ndarray] = []
     while True:
         r = rate(steps)
@@ -107,7 +129,7 @@ def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 40, to
         reached = np.array([sums[f"s{k}"] for k in range(d)]) / total
         if np.abs(reached - goal).max() <= tolerance or len(steps) >= most_steps:
             return steps, reached
-        steps.append(step * weight * (reached - goal))
+        steps.append(metric @ (reached - goal))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], row_key: tuple[str, ...] = ("doc_id",), text: str = "text", id_col: str = "doc_id", **fit: float) -> DataFrame:
@@ -119,8 +141,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], row_key
     model = fit_domains(docs, labelled, text=text, id_col=id_col, **fit)
     key = list(row_key)
     if not model.domains or not sum(targets.get(n, 0) for n in model.domains):
-        words = _word_buckets(docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__text")), key)
-        return words.groupBy(*key).agg(F.count(F.lit(1)).alias("tokens")).select(*key, "tokens", F.expr("cast(map() as map<string,double>)").alias("posterior"), F.lit(1.0).alias("rate"))
+        words = docs.select(*key, F.size(_words(F.col(text))).cast("long").alias("__n")).where("__n > 0")
+        return words.groupBy(*key).agg(F.sum("__n").alias("tokens")).select(*key, "tokens", F.expr("cast(map() as map<string,double>)").alias("posterior"), F.lit(1.0).alias("rate"))
     members = durable(posteriors(docs, model, key, text))
     steps, _ = fit_rates(members, [float(targets.get(n, 0)) for n in model.domains])
     names = F.array(*(F.lit(n) for n in model.domains))

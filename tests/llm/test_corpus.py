@@ -251,6 +251,21 @@ def test_mixing(spark, empty):
     assert out.columns == docs.columns and out.where("doc_id is null").count() == 3 and out.where("doc_id >= 500").count() == 2
     assert mixing.mix(empty, labels, {"plain": 1.0}).count() == 0
     assert mixing.mix(docs, labels.where("false"), {"plain": 1.0}).where("rate <> 1").count() == 0
+    assert mixing.mix(docs, labels.where("domain = 'plain'"), {"plain": 1.0}).where("abs(rate - 1) > 1e-3").count() == 0
+
+
+def test_mixing_needs_only_the_words_that_tell(spark):
+    """A few telling words among many that don't, in texts whose domains are held out from the labels."""
+    r = random.Random(2)
+    rows = [(k, " ".join(["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(80)] + (["scorn"] * 2 if k % 5 == 0 else []) + (["odd$$$"] if k % 5 == 1 else []))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, {0: "bad", 1: "odd"}.get(k % 5, "good")) for k in range(300)], "doc_id long, domain string")
+    model = mixing.fit_domains(docs, labels)
+    got = {x["doc_id"]: dict(zip(model.domains, x["posterior"])) for x in mixing.posteriors(docs, model, ["doc_id"]).where("doc_id >= 300").collect()}
+    assert all(max(p, key=p.get) == {0: "bad", 1: "odd"}.get(k % 5, "good") for k, p in got.items())
+    assert all(abs(p["good"] - 0.6) < 0.01 for k, p in got.items() if k % 5 > 1)  # no telling word: the prior
+    rates = {x["doc_id"]: x["rate"] for x in mixing.mix(docs, labels, {"good": 0.8, "odd": 0.15, "bad": 0.05}).collect()}
+    assert all(v >= 1 for k, v in rates.items() if k % 5 > 1) and all(v < 0.6 for k, v in rates.items() if k % 5 == 0)
 
 
 def edit_distance(item, passage):
