@@ -28,12 +28,17 @@ BITS = 16
 
 
 def _words(text: Column) -> Column:
-    """Lower-cased words; a run of symbols is a word of its own."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+|(?<![#*$%&])(?=[#*$%&])"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def _buckets(words: Column) -> Column:
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << BITS)).cast("int"))
+    """Hash buckets of words; a word that ends in a symbol counts as its last three characters."""
+
+    def bucket(w: Column) -> Column:
+        told = F.when(F.substring(w, -1, 1).isin(*"#*$%&"), F.substring(w, -3, 3)).otherwise(w)
+        return F.pmod(F.xxhash64(told), F.lit(1 << BITS)).cast("int")
+
+    return F.transform(words, bucket)
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -81,15 +86,15 @@ def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: st
     numbers for each row are shuffled."""
     d = len(model.domains)
     rows = docs.select(*row_key, _words(F.col(text)).alias("__words"))
-    told = _constant(model.buckets, "int")
-    places = F.transform(F.array_intersect(_buckets(F.col("__words")), told), lambda b: F.array_position(told, b).cast("int"))
-    rows = rows.select(*row_key, F.size("__words").cast("long").alias("__n"), places.alias("__at"))
-
-    def evidence(weights: list[float]) -> Column:
-        return F.aggregate("__at", F.lit(0.0), lambda total, place: total + F.element_at(_constant(weights, "double"), place))
-
-    rows = rows.select(*row_key, "__n", *(evidence(w).alias(f"__e{k}") for k, w in enumerate(model.weights)))
-    sums = rows.groupBy(*row_key).agg(F.sum("__n").alias("tokens"), *(F.sum(f"__e{k}").alias(f"__s{k}") for k in range(d))).where("tokens > 0")
+    told = F.array_intersect(_buckets(F.col("__words")), _constant(model.buckets, "int"))
+    rows = rows.select(*row_key, F.size("__words").cast("long").alias("__n"), told.alias("__told"))
+    rows = rows.select(*row_key, "__n", F.posexplode_outer("__told").alias("__at", "__bucket"))
+    names = ["__bucket", *(f"__w{k}" for k in range(d))]
+    table = [_constant(model.buckets, "int"), *(_constant(w, "double") for w in model.weights)]
+    weights = docs.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(table, names))).select(F.inline(F.arrays_zip(*names)))  # most_words rows at most
+    rows = rows.join(F.broadcast(weights), "__bucket", "left")
+    words = F.sum(F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__n")))
+    sums = rows.groupBy(*row_key).agg(words.alias("tokens"), *(F.coalesce(F.sum(f"__w{k}"), F.lit(0.0)).alias(f"__s{k}") for k in range(d))).where("tokens > 0")
     logit = [F.col(f"__s{k}") + model.prior[k] for k in range(d)]
     top = F.greatest(*logit) if d > 1 else logit[0]
     odds = [F.exp(x - top) for x in logit]
