@@ -160,11 +160,13 @@ def copies(rate_col: Column, *keys: Column) -> Column:
     return (F.floor(rate_col) + (chance < rate_col - F.floor(rate_col)).cast("int")).cast("int")
 
 
-def apply_rates(docs: DataFrame, rates: DataFrame, row_key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``docs`` with each row repeated by its rate; a row without a rate stays once. Null keys match."""
+def apply_rates(docs: DataFrame, rates: DataFrame, row_key: tuple[str, ...] = ("doc_id",), copy_col: str | None = None) -> DataFrame:
+    """``docs`` with each row repeated by its rate; a row without a rate stays once. Null keys match. A row's
+    copies are numbered from 1 in ``copy_col``, where that is given."""
     other = rates.select(*(F.col(k).alias(f"__{k}") for k in row_key), F.col("rate").alias("__rate"))
     same = [docs[k].eqNullSafe(other[f"__{k}"]) for k in row_key]
     joined = docs.join(other, same, "left")
     times = F.when(F.col("__rate").isNull(), F.lit(1)).otherwise(copies(F.col("__rate"), *(docs[k] for k in row_key)))
     out = joined.withColumn("__times", times).where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    numbered = [F.col("__copy").alias(copy_col)] if copy_col else []
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns if c != copy_col), *numbered)

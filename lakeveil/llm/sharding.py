@@ -1,6 +1,7 @@
 """Sharding by a hypergeometric communication matrix; DataFrame operations only.
 
-Rows fall into P blocks by a hash of their key. The exact number of rows that each block sends to each
+Rows fall into P blocks by a hash of their key and their other columns, so that rows that share a key are
+dealt like any others. The exact number of rows that each block sends to each
 shard is drawn at once: a row of the matrix is a multivariate hypergeometric draw from the places that
 the shards have left. Each block then permutes its rows (rank by a seeded hash) and deals them out by
 that rank, rows travel to their shards, and each shard permutes again. Every assignment of rows to
@@ -58,12 +59,13 @@ def communication_matrix(block_rows: list[int], shards: int, seed: int = 0) -> n
 def shuffle_shards(docs: DataFrame, shards: int, key_cols: tuple[str, ...] = ("doc_id",), seed: int = 17, block_rows: int = 20_000, slice_rows: int = 100_000) -> DataFrame:
     """All columns of ``docs`` with shard (0 to ``shards`` - 1) and slot (gapless from 0 in each shard).
 
-    Shard sizes are at most one apart. Rows that agree in all key columns tie; such rows are told apart by
-    their other columns as far as these can be ordered, and are alike otherwise. Nulls in keys are values
-    like any other. An empty table gives an empty table. ``docs`` is read twice, the first time for its
-    key columns only. Column names shard and slot of the input are replaced."""
+    Shard sizes are at most one apart. Rows that agree in all key columns are told apart by their other
+    columns (maps excepted); copies of a row need a column that numbers them, or they stay side by side.
+    Nulls in keys are values like any other. An empty table gives an empty table. ``docs`` is read twice.
+    Column names shard and slot of the input are replaced."""
     docs = docs.drop("shard", "slot")
-    keys = [F.col(k) for k in key_cols]
+    others = [F.col(c) for c, kind in docs.dtypes if c not in key_cols and "map<" not in kind and kind != "variant"]
+    keys = [*(F.col(k) for k in key_cols), F.xxhash64(F.lit(seed + 3), *others)]
     place = F.xxhash64(F.lit(seed), *keys)
     total = docs.count()
     blocks = int(min(max(1, MOST_CELLS // shards), max(8, -(-total // block_rows))))
