@@ -5,8 +5,8 @@ anchors (see repeats.py), so strings are routed to buckets by anchor, and each b
 what its strings share: suffixes of all segments of a bucket are sorted by prefix doubling, and previous
 and next smaller positions in suffix order say whether the longest previous factor of a string reaches
 ``length``. Equal segments are pre-aggregated first, so that a bucket holds each content once, however
-many copies the corpus has. A bucket with over ``MOST`` contents is dealt out further by the hash of each
-single string, which again keeps equal strings together.
+many copies the corpus has. Strings of a bucket with over ``MOST`` contents are compared one by one instead,
+by two 64-bit hashes: equal strings are aggregated before the shuffle, and all but the first are covered.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import CHUNK, by_text, chunks, covered, gram_hash, mix, prefix, ranges, utf8
+from .checkpoints import durable
 from .repeats import Windows, by_row, explode_parts, finish, keyed, segment_rows, sort_out
 
 MOST = 2000
@@ -62,11 +63,15 @@ def previous_factors(order: np.ndarray, shares: np.ndarray, d: np.ndarray, h: np
     return out
 
 
-def _segments(rows: DataFrame, found: DataFrame, kind: Windows) -> DataFrame:
-    """bucket, d, h, start, n and bytes of first segments that share their anchor with other contents."""
+def _wanted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """d, h, t and the first segments of each text that share their anchor with other contents, ``deals`` in parts."""
     rest = by_row(found.where("not covered and shared is not null").withColumn("deals", F.ceil(F.col("shared") / MOST).cast("int")), "start", "n", "anchor", "deals")
     parts = [F.col(f"parts.{c}").alias(c) for c in ("start", "n", "anchor", "deals")]
-    own = rest.join(rows.select("d", "h", "t"), ["d", "h"]).select("d", "h", "t", *parts)
+    return rest.join(rows.select("d", "h", "t"), ["d", "h"]).select("d", "h", "t", *parts)
+
+
+def _segments(wanted: DataFrame, kind: Windows) -> DataFrame:
+    """bucket, d, h, start, n and bytes of the segments whose bucket has at most ``MOST`` contents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,18 +80,40 @@ def _segments(rows: DataFrame, found: DataFrame, kind: Windows) -> DataFrame:
             for lo, hi in chunks(offsets):
                 part, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 row, start, count, anchor, deals = explode_parts(batch, lo, hi, (3, 4, 5, 6))
-                many = deals > 1
-                if many.any():  # one row for each string
-                    place = ranges(o[row[many]] + start[many], count[many])
-                    single = np.repeat(np.flatnonzero(many), count[many])
-                    hashes = gram_hash(prefix(part), kind.length)[place]
-                    bucket = mix(anchor[single].view(np.uint64) + np.uint64(1) + hashes % deals[single].astype(np.uint64)).view(np.int64)
-                    row, start, count, anchor = (np.concatenate(x) for x in ((row[~many], row[single]), (start[~many], place - o[row[single]]), (count[~many], np.ones(len(single), np.int64)), (anchor[~many], bucket)))
+                row, start, count, anchor = (x[deals <= 1] for x in (row, start, count, anchor))
                 raw, begin = part.tobytes(), o[row] + start
                 strings = [raw[a:b] for a, b in zip(begin.tolist(), (begin + count - 1 + kind.length).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row + lo]), pa.array(texts[row + lo]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(strings, pa.binary())], names=["bucket", "d", "h", "start", "n", "bytes"])
 
-    return own.mapInArrow(cut, "bucket bigint, d bigint, h bigint, start int, n int, bytes binary")
+    return wanted.mapInArrow(cut, "bucket bigint, d bigint, h bigint, start int, n int, bytes binary")
+
+
+def _repeated_singles(wanted: DataFrame, kind: Windows) -> DataFrame:
+    """d, h, start and n (1) of the repeated strings of oversize buckets. A string travels as two 64-bit
+    hashes; equal strings are aggregated before the shuffle and joined back, so no task holds a group of them."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8(batch.column(2))
+            ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi in chunks(offsets):
+                row, start, count, _, deals = explode_parts(batch, lo, hi, (3, 4, 5, 6))
+                row, start, count = (x[deals > 1] for x in (row, start, count))
+                if not len(row):
+                    continue
+                part, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                place, row = ranges(o[row] + start, count), np.repeat(row, count)
+                k0 = gram_hash(prefix(part), kind.length)[place].view(np.int64)
+                k1 = gram_hash(prefix(mix(part.astype(np.uint64) + np.uint64(1))), kind.length)[place].view(np.int64)
+                order = np.lexsort((place, k1, k0, row))
+                row, place, k0, k1 = (x[order] for x in (row, place, k0, k1))
+                opens = np.append(True, (row[1:] != row[:-1]) | (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]))
+                own = place > place[np.maximum.accumulate(np.where(opens, np.arange(len(row)), 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + lo]), pa.array(texts[row + lo]), pa.array((place - o[row]).astype(np.int32)), pa.array(k0), pa.array(k1), pa.array(own)], names=["d", "h", "start", "k0", "k1", "own"])
+
+    singles = durable(wanted.mapInArrow(deal, "d bigint, h bigint, start int, k0 bigint, k1 bigint, own boolean"))
+    firsts = singles.groupBy("k0", "k1").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    return singles.join(firsts, ["k0", "k1"]).where("own or d > first").select("d", "h", "start", F.lit(1).alias("n"))
 
 
 def _factors(parts: DataFrame, length: int) -> DataFrame:
@@ -147,7 +174,8 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", le
     kind = Windows(length, min(32, max(1, length // 2)), True)
     rows = keyed(docs, text, id_col)
     found = sort_out(segment_rows(rows, kind, bits), within=True)
-    spans = found.where("covered").select("d", "h", "start", "n").unionByName(_factors(_segments(rows, found, kind), length))
+    wanted = _wanted(rows, found)
+    spans = found.where("covered").select("d", "h", "start", "n").unionByName(_factors(_segments(wanted, kind), length)).unionByName(_repeated_singles(wanted, kind))
 
     def describe(data: np.ndarray, offsets: np.ndarray, parts: list[np.ndarray]) -> list[pa.Array]:
         row, start, count = parts
