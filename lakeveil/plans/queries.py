@@ -37,19 +37,28 @@ def r6_sanitized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize(_turns(spark, sf_dir))[0].select("session_id", "unit_seq", "text")
 
 
-def d2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of any confidence by document and kind, before overlaps are resolved away."""
-    folded = _documents(spark, sf_dir).withColumn("text", patterns.fold(F.col("text")))
+def count_candidates(units: DataFrame) -> DataFrame:
+    """Matches of every rule by kind, before overlaps are resolved away."""
+    folded = units.withColumn("text", patterns.fold(F.col("text")))
     parts = []
     for rule in patterns.RULES:
         raw = F.when(F.col("text").rlike(rule.guard), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)))
         parts.append(F.struct(F.lit(rule.kind).alias("kind"), raw.alias("raws")))
     rows = folded.select("session_id", F.explode(F.array(*parts)).alias("r")).select("session_id", "r.kind", F.explode("r.raws").alias("raw"))
-    rows = rows.where(F.col("kind").isin("PAN", "GSTIN", "IFSC", "PHONE", "AADHAAR"))
     ok = checksums.verify(F.col("kind"), F.col("raw"))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(ok).alias("verified"), F.count_distinct("session_id").alias("documents"))
 
 
+def d2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the five kinds that this query's SQL counts; ``d2_all_candidates`` has those of all rules."""
+    return d2_all_candidates(spark, sf_dir).where(F.col("kind").isin("PAN", "GSTIN", "IFSC", "PHONE", "AADHAAR"))
+
+
+def d2_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all eight kinds. It has no SQL; a test holds it against brute force."""
+    return count_candidates(_documents(spark, sf_dir))
+
+
 def d12_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = patterns.with_detections(_documents(spark, sf_dir))
     return found.select("session_id", F.explode_outer("detections").alias("d")).where("d is not null").select("session_id", "d.kind", "d.start", "d.end", "d.raw", "d.verified", "d.confidence")
@@ -159,7 +168,7 @@ def p26_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    r6_sanitized_turns, d2_candidates, d4_aadhaar_rate, d5_card_rate, d12_detections, r5_vault, r10_withheld, r12_rehydrated, k1_payloads, l1_previews, l3_totals,
+    r6_sanitized_turns, d2_candidates, d2_all_candidates, d4_aadhaar_rate, d5_card_rate, d12_detections, r5_vault, r10_withheld, r12_rehydrated, k1_payloads, l1_previews, l3_totals,
     v1_leaks, v7_invented, t1_injected_score, t10_text_statistics, t11_text_verdict, p1_page_tokens, p1_page_depth, p22_page_origin, p24_capture_gate, p26_questions,
 ]
 
