@@ -120,15 +120,37 @@ def v7_invented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.invented_tokens(quoted, minted)
 
 
+def _scored(units: DataFrame) -> DataFrame:
+    """Units with an injected line: its kind, and the confident detections of the whole text, those that touch the
+    injected value (``own``) and the others (``others``); ``hit`` if one of its kind covers it."""
+    value, kind = block(F.col("session_id"), 1), block(F.col("session_id"), 2)
+    found = patterns.with_detections(units, least=LEAST)
+    end = F.length("text")
+    start = end - F.length(value)
+    touches = lambda d: (d["start"] < end) & (d["end"] > start)
+    hit = F.exists("detections", lambda d: (d["kind"] == kind) & (d["start"] <= start) & (d["end"] >= end))
+    return found.select("session_id", kind.alias("kind"), hit.alias("hit"), F.filter("detections", touches).alias("own"), F.filter("detections", lambda d: ~touches(d)).alias("others"))
+
+
+def score_injected(units: DataFrame) -> DataFrame:
+    any_own = F.size("own") > 0
+    return _scored(units).groupBy(F.coalesce("kind", F.lit("DECOY")).alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("hit").alias("hits"), F.count_if(F.col("kind").isNull() & any_own).alias("false_alarms"))
+
+
+def other_detections(units: DataFrame) -> DataFrame:
+    rows = _scored(units).select("session_id", F.explode("others").alias("d"))
+    return rows.groupBy("d.kind").agg(F.count(F.lit(1)).alias("detections"), F.count_distinct("session_id").alias("documents"))
+
+
 def t1_injected_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits and false alarms of patterns alone on the injected line of each document, by kind (decoys:
+    """Hits and false alarms of patterns alone at the injected value, found in the whole text, by kind (decoys:
     DECOY). A decoy with a valid check digit is a false alarm that only its label could tell."""
-    units = _documents(spark, sf_dir)
-    value, kind = block(F.col("session_id"), 1), block(F.col("session_id"), 2)
-    found = patterns.with_detections(units.select("session_id", "unit_seq", F.element_at(F.split("text", "\n"), -1).alias("text")), least=LEAST)
-    hit = F.exists("detections", lambda d: (d["kind"] == F.col("kind")) & (d["raw"] == F.col("value")))
-    rows = found.select("session_id", value.alias("value"), kind.alias("kind"), "detections").select("kind", hit.alias("hit"), (F.size("detections") > 0).alias("any"))
-    return rows.groupBy(F.coalesce("kind", F.lit("DECOY")).alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("hit").alias("hits"), F.count_if(F.col("kind").isNull() & F.col("any")).alias("false_alarms"))
+    return score_injected(_documents(spark, sf_dir))
+
+
+def t1_other_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident detections of the same scan beside the injected values, by kind: the texts' own, true or not."""
+    return other_detections(_documents(spark, sf_dir))
 
 
 def t10_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +191,7 @@ def p26_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     r6_sanitized_turns, d2_candidates, d2_all_candidates, d4_aadhaar_rate, d5_card_rate, d12_detections, r5_vault, r10_withheld, r12_rehydrated, k1_payloads, l1_previews, l3_totals,
-    v1_leaks, v7_invented, t1_injected_score, t10_text_statistics, t11_text_verdict, p1_page_tokens, p1_page_depth, p22_page_origin, p24_capture_gate, p26_questions,
+    v1_leaks, v7_invented, t1_injected_score, t1_other_detections, t10_text_statistics, t11_text_verdict, p1_page_tokens, p1_page_depth, p22_page_origin, p24_capture_gate, p26_questions,
 ]
 
 
