@@ -1,4 +1,9 @@
-"""Ledger and leak audits (L1, L3, L4, V1, V7)."""
+"""Ledger and leak audits.
+
+Where secrets are looked for in texts of their session, an index of character grams brings them together:
+a text's grams meet the first gram of each secret, so that no session pairs all its secrets with all its
+texts. What is brought together is then compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,29 @@ from pyspark.sql import functions as F
 
 from .vault import TOKEN
 
+#: Characters of a secret's first gram; shorter secrets are looked up by all of theirs.
+GRAM = 6
+
 
 def masked(kind: Column, value: Column) -> Column:
     """L1: a preview that shows at most the first two and the last character."""
+    # Bullets of a preview.
+    value = F.trim(value)
     dot, n = F.lit("•"), F.length(value)
     long = F.concat(F.left(value, F.lit(2)), F.repeat(dot, F.least(F.lit(12), n - 3)), F.right(value, F.lit(1)))
     return F.when(kind == "PASSWORD", F.repeat(dot, F.lit(8))).when(n <= 4, F.repeat(dot, F.greatest(F.lit(3), n))).otherwise(long)
 
 
+def entries(found: DataFrame, session: str = "session_id", unit: str = "unit_seq", most: int = 5) -> DataFrame:
+    """L2: by session and kind how many values were withheld, and previews of the first ``most`` distinct values."""
+    place = F.struct(F.col(unit), F.col("start"))
+    values = found.groupBy(session, "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    nth = F.row_number().over(Window.partitionBy(session, "kind").orderBy("place"))
+    shown = F.when(F.col("nth") <= most, F.struct("nth", masked(F.col("kind"), F.col("value")).alias("preview")))
+    rows = values.withColumn("nth", nth).groupBy(session, "kind").agg(F.sum("n").alias("withheld"), F.array_sort(F.collect_list(shown)).alias("shown"))
+    return rows.select(session, "kind", "withheld", F.transform("shown", lambda s: s["preview"]).alias("previews"))
+
+
 def totals(ledger: DataFrame) -> DataFrame:
     """L3: what was withheld by kind, and over all kinds (kind null), largest first."""
     return ledger.rollup("kind").agg(F.sum("withheld").alias("withheld"), F.count_distinct("session_id").alias("sessions"))
@@ -25,25 +45,103 @@ def retain(ledger: DataFrame, at: str, most: int = 200) -> DataFrame:
     return ledger.orderBy(F.desc(at)).limit(most)
 
 
+def field_view(units: DataFrame, text: str = "text") -> DataFrame:
+    """Values and, of labels, those with six digits in a row or a token; ``verdict`` says whether anything was withheld."""
+    shown = (F.col("field") == "value") | F.col(text).rlike("[0-9]{6,}|<PII_")
+    verdict = F.when(F.col(text).rlike(TOKEN), "withheld").otherwise("sent as it is")
+    return units.where(shown & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).withColumn("verdict", verdict)
+
+
 def bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[\s()-]", ""))
 
 
+def brought_together(secrets: DataFrame, wire: DataFrame, session: str | None = "session_id", text: str = "text", value: str = "value", forms: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows of ``wire`` beside rows of ``secrets`` (its columns but the session) of the same session whose first gram they hold, both without
+    separators and case. Repeated rows stay repeated. ``forms`` are
+    other ways to write the value. With ``session`` None any secret meets any text."""
+    heads = F.array_distinct(F.array(*(F.left(bare(c), F.lit(GRAM)) for c in (F.col(value), *forms))))
+    index = secrets.select(*([F.col(session).alias("__s")] if session else []), F.explode(heads).alias("__gram"), F.struct(*(c for c in secrets.columns if c != session)).alias("__secret")).where("__gram <> ''")
+    sizes = index.select(*([F.col("__s").alias("__z")] if session else []), F.length("__gram").alias("__n")).distinct()  # six rows a session at most
+    texts = wire.withColumn("__bare", bare(F.col(text)))
+    texts = texts.join(sizes, F.col(session).eqNullSafe(F.col("__z"))).drop("__z") if session else texts.join(F.broadcast(sizes))  # at most six rows
+    grams = F.lit(None).cast("array<string>")
+    for n in range(1, GRAM + 1):  # overlapping grams by a look ahead: one linear pass
+        grams = F.when(F.col("__n") == n, F.regexp_extract_all("__bare", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(grams)
+    rows = texts.select(*wire.columns, F.explode(F.array_distinct(grams)).alias("__own"))
+    on = F.col("__own") == F.col("__gram")
+    return rows.join(index, on & F.col(session).eqNullSafe(F.col("__s")) if session else on).select(*wire.columns, "__secret.*")
+
+
 def leaks(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
     """V1: vault values that still stand in their session's outgoing text, literally or, from six
-    characters on, without separators and case. Joined by session; the result carries the token only."""
-    joined = vault.join(wire, session)
+    characters on, without separators and case. The result carries the token only."""
+    joined = brought_together(vault.select(session, "token", "value"), wire.select(session, text), session, text)
     literal = F.contains(F.col(text), F.col("value"))
     loose = (F.length(bare(F.col("value"))) >= 6) & F.contains(bare(F.col(text)), bare(F.col("value")))
     return joined.where(literal | loose).select(session, "token", F.when(literal, "literal").otherwise("normalized").alias("how"))
 
 
+# The patterns of the residue and echo audits, the most specific first.
+RESIDUE = [("CARD", r"\b(?:[0-9][ -]?){13,19}\b"), ("AADHAAR", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"), ("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), ("EMAIL", r"\b[^\s@]+@[^\s@.]+\.[^\s@,;]{2,}\b")]
+
+
+def residue(clean: DataFrame, acknowledged: DataFrame | None = None, keys: tuple[str, ...] = ("session_id", "unit_seq"), text: str = "text") -> DataFrame:
+    """V2: rows of ``clean`` in which a raw pattern is left once tokens are taken out, by kind, but for those
+    acknowledged (``keys`` and kind) as looked at and kept."""
+    bare_text = F.regexp_replace(F.col(text), TOKEN, "")
+    kinds = F.array_compact(F.array(*(F.when(bare_text.rlike(p), F.lit(k)) for k, p in RESIDUE)))
+    found = clean.select(*keys, F.explode(kinds).alias("kind"))
+    if acknowledged is None:
+        return found
+    known = acknowledged.select(*(F.col(k).alias(f"__{k}") for k in (*keys, "kind"))).distinct()
+    on = F.col("kind") == F.col("__kind")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return found.join(known, on, "left_anti")
+
+
+def transcript(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+    """V3: by session how many of its vault's values (three characters or more) were checked and how many stand in its
+    texts as they are, with JSON escapes, or without separators; a session with none checked is not clean but unchecked."""
+    checked = vault.where(F.length("value") >= 3).select(session, "token", "value")
+    quoted = F.expr("substring(to_json(struct(value)), 11, length(to_json(struct(value))) - 12)")
+    joined = brought_together(checked, wire.select(session, text), session, text, forms=(quoted,))
+    how = F.when(F.contains(F.col(text), F.col("value")), "literal").when(F.contains(F.col(text), quoted), "escaped")
+    how = how.when((F.length(bare(F.col("value"))) >= 6) & F.contains(bare(F.col(text)), bare(F.col("value"))), "separators")
+    hits = joined.withColumn("how", how).where("how is not null").groupBy(session).agg(F.count_distinct("token").alias("leaked"))
+    counts = checked.groupBy(session).agg(F.count(F.lit(1)).alias("checked"))
+    sessions = wire.select(session).distinct()
+    c, h = counts.withColumnRenamed(session, "__c"), hits.withColumnRenamed(session, "__h")
+    out = sessions.join(c, F.col(session).eqNullSafe(F.col("__c")), "left")
+    out = out.join(h, F.col(session).eqNullSafe(F.col("__h")), "left")
+    n, bad = F.coalesce("checked", F.lit(0)), F.coalesce("leaked", F.lit(0))
+    return out.select(session, n.alias("checked"), bad.alias("leaked"), F.when(n == 0, "unchecked").when(bad > 0, "leaked").otherwise("clean").alias("verdict"))
+
+
+def channels(found: DataFrame, masks: DataFrame, images: DataFrame, session: str = "session_id") -> DataFrame:
+    """V4: sessions that send an image and withhold values need a mask; by session of ``images`` its values, masks and verdict."""
+    values = found.groupBy(F.col(session).alias("__v")).agg(F.count(F.lit(1)).alias("values"))
+    drawn = masks.groupBy(F.col(session).alias("__m")).agg(F.count(F.lit(1)).alias("masks"))
+    own = images.select(session).distinct()
+    out = own.join(values, F.col(session).eqNullSafe(F.col("__v")), "left").join(drawn, F.col(session).eqNullSafe(F.col("__m")), "left")
+    v, m = F.coalesce("values", F.lit(0)), F.coalesce("masks", F.lit(0))
+    return out.select(session, v.alias("values"), m.alias("masks"), F.when(v == 0, "nothing to cover").when(m > 0, "covered").otherwise("uncovered").alias("verdict"))
+
+
+def echoed(text: Column) -> Column:
+    """V5: the most specific kind of raw value that a text carries, or null."""
+    return F.coalesce(*(F.when(text.rlike(p), F.lit(k)) for k, p in RESIDUE))
+
+
+def disguised_left(clean: DataFrame, planted: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+    """V6: planted disguised values (``what``, ``value``) that still stand literally in their session's sanitized text."""
+    joined = brought_together(planted.select(session, "what", "value"), clean.select(session, text), session, text)
+    return joined.where(F.contains(F.col(text), F.col("value"))).select(session, "what").distinct()
+
+
 def invented_tokens(texts: DataFrame, vault: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
     """V7: tokens quoted in a session's texts that its vault never minted."""
     quoted = texts.select(session, F.explode(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))).alias("token")).distinct()
-    return quoted.join(vault.select(session, "token"), [session, "token"], "left_anti")
-
-
-def first_seen(rows: DataFrame, keys: list[str], order: str, most: int = 5) -> DataFrame:
-    """L2: the first ``most`` distinct rows of each group, in order of appearance."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("nth") <= most)
+    known = vault.select(F.col(session).alias("__s"), F.col("token").alias("__t"))
+    return quoted.join(known, F.col(session).eqNullSafe(F.col("__s")) & (F.col("token") == F.col("__t")), "left_anti")

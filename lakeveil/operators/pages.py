@@ -1,10 +1,12 @@
-"""Page structure: tokens of HTML, origins, questions, capture gate (P1 in part, P17, P22, P24, P26)."""
+"""Page structure: tokens of HTML, origins, questions, capture gate (P1 in part, P22, P24, P26)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import WIDE
+
 TOKENS = r"(?s)(<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]+>|[^<]+)"
 #: Tags without content, and inline formatting, neither of which nests.
 FLAT = "area base br col embed hr img input link meta source track wbr p li b i em strong".split()
@@ -39,7 +41,7 @@ def origin(url: Column) -> Column:
 
 def is_question(goal: Column) -> Column:
     """P26."""
-    g = F.trim(F.lower(goal))
+    g = F.regexp_replace(F.lower(goal), rf"^[\s{WIDE}]+|[\s{WIDE}]+$", "")
     out = F.endswith(g, F.lit("?"))
     for q in QUESTIONS:
         out = out | F.startswith(g, F.lit(q))

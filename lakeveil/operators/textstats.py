@@ -1,40 +1,71 @@
-"""Text statistics and verdict (T10, T11), as one aggregation over sentences and one over words."""
+"""Text statistics and verdict (T10, T11), worked out within each row: nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Words that cluster in generated prose, captions that open no sentence, the least length of a
+# line of prose, and the bands of the verdict.
+TELLS = "delve, robust, comprehensive, leverage, seamless, crucial, pivotal, testament, landscape, realm, underscore, showcase, holistic, cutting-edge, game-changing, meticulous, intricate, myriad, profound, embark, foster, navigate the, tapestry, in today's, it is worth noting, furthermore, moreover, additionally, in conclusion, vibrant".split(", ")
+CAPTIONS, LEAST_LINE = "^(Figure|Table|Priority|Measure|[0-9])", 45
+BURSTY, FLAT, DASHES = 0.45, 0.25, 1.5
 
-def prose(text):
+
+def prose(text: Column) -> Column:
     """Lines of 45 characters or more that don't open with a digit or a caption, joined by one space."""
     lines = F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    kept = F.filter(lines, lambda s: (F.length(s) >= 45) & ~s.rlike("^(Figure|Table|Priority|Measure|[0-9])"))
+    kept = F.filter(lines, lambda s: (F.length(s) >= LEAST_LINE) & ~s.rlike(CAPTIONS))
     return F.regexp_replace(F.array_join(kept, " "), r"\s+", " ")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """By document its words, sentences, sentence lengths, punctuation, vocabulary and top opener.
-    Documents without prose are not in the result; ids are expected to be unique."""
-    rows = docs.select(id_col, prose(F.coalesce(F.col(text), F.lit(""))).alias("p")).where("p <> ''")
-    sentences = rows.select(id_col, F.posexplode(F.split("p", "(?<=[.!?]) ")).alias("k", "s")).withColumn("w", F.filter(F.split(F.trim("s"), " "), lambda w: w != "")).where("size(w) > 5")
-    n = F.size("w").cast("double")
-    lengths = sentences.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("sentences"), F.avg(n).alias("mean_len"), F.stddev_pop(n).alias("sd_len"), F.count_if(n < 12).alias("short"), F.count_if(n > 32).alias("long"),
+def _commonest(items: Column) -> Column:
+    """struct<item, n>: the commonest element of an array, the first seen on ties; by runs of the sorted array."""
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    none = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("most"), F.lit(0).alias("at"))
+
+    def step(s: Column, e: Column) -> Column:
+        again = s["x"].eqNullSafe(e["x"])
+        n, i = F.when(again, s["n"] + 1).otherwise(1), F.when(again, s["i"]).otherwise(e["i"])
+        better = (n > s["most"]) | ((n == s["most"]) & (i < s["at"]))
+        pick = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct(e["x"].alias("x"), n.alias("n"), i.alias("i"), pick(e["x"], s["item"]).alias("item"), pick(n, s["most"]).alias("most"), pick(i, s["at"]).alias("at"))
+
+    return F.aggregate(placed, none, step, lambda s: F.struct(s["item"].alias("item"), s["most"].alias("n")))
+
+
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text, with a text's words, sentences, sentence lengths, punctuation, vocabulary, top
+    opener and flagged words (``tells``). Texts without prose or words (null and empty ones among them) are not in the result; repeated and
+    null ids stay as they are."""
+    ids = [c for c in docs.columns if c != text]
+    rows = docs.select(*ids, prose(F.coalesce(F.col(text), F.lit(""))).alias("__p")).where("__p <> ''")
+    lower = F.lower("__p")
+    cut = F.transform(F.split("__p", "(?<=[.!?]) "), lambda s: F.array_remove(F.split(F.trim(s), " "), ""))
+    rows = rows.withColumn("__w", F.sort_array(F.regexp_extract_all(lower, F.lit("[a-z][a-z'-]*"), F.lit(0)))).where("size(__w) > 0").withColumn("__s", F.filter(cut, lambda w: F.size(w) > 5))
+    rows = rows.withColumn("__n", F.transform("__s", lambda w: F.size(w).cast("double")))
+    count, sentences = (lambda s: ((F.length("__p") - F.length(F.replace("__p", F.lit(s)))) / len(s)).cast("long")), F.size("__n").cast("long")
+    some = lambda c: F.when(sentences > 0, c)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("__mean", some(total(F.col("__n")) / sentences))
+    spread = F.sqrt(total(F.transform("__n", lambda x: (x - F.col("__mean")) * (x - F.col("__mean")))) / sentences)
+    once = F.size(F.filter(F.transform("__w", lambda w, i: F.when(~w.eqNullSafe(F.get("__w", i - 1)) & ~w.eqNullSafe(F.get("__w", i + 1)), i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("__top", some(_commonest(F.transform("__s", lambda w: F.lower(F.concat_ws(" ", F.slice(w, 1, 2)))))))
+    return rows.select(
+        *ids, count("—").alias("em"), count("–").alias("en"), (count("…") + count("...")).alias("ellipsis"), count(";").alias("semis"),
+        F.size("__w").cast("long").alias("words"), F.size(F.array_distinct("__w")).cast("long").alias("distinct_words"), once.cast("long").alias("hapax"),
+        some(sentences).alias("sentences"), F.col("__mean").alias("mean_len"), some(spread).alias("sd_len"),
+        some(F.size(F.filter("__n", lambda n: n < 12)).cast("long")).alias("short"), some(F.size(F.filter("__n", lambda n: n > 32)).cast("long")).alias("long"),
+        F.col("__top.item").alias("top_opener"), F.col("__top.n").cast("long").alias("opener_count"),
+        F.size(F.regexp_extract_all(lower, F.lit("|".join(TELLS)), F.lit(0))).cast("long").alias("tells"),
     )
-    openers = sentences.groupBy(id_col, F.lower(F.concat_ws(" ", F.slice("w", 1, 2))).alias("opener")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
-    top = openers.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "k"))).where("r = 1").select(id_col, F.col("opener").alias("top_opener"), F.col("n").alias("opener_count"))
-    words = rows.select(id_col, F.explode(F.regexp_extract_all(F.lower("p"), F.lit("[a-z][a-z'-]*"), F.lit(0))).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("c"))
-    vocabulary = words.groupBy(id_col).agg(F.sum("c").alias("words"), F.count(F.lit(1)).alias("distinct_words"), F.count_if(F.col("c") == 1).alias("hapax"))
-    count = lambda s: ((F.length("p") - F.length(F.replace("p", F.lit(s)))) / len(s)).cast("long")
-    marks = rows.select(id_col, count("—").alias("em"), count("–").alias("en"), (count("…") + count("...")).alias("ellipsis"), count(";").alias("semis"))
-    return marks.join(vocabulary, id_col).join(lengths, id_col, "left").join(top, id_col, "left")
 
 
 def verdict(stats: DataFrame) -> DataFrame:
-    """PASS, MID or FLAG by burstiness; flags for dashes and for a repeated opening."""
+    """PASS, MID or FLAG by burstiness; flags for dashes, ellipses, flagged words and a repeated opening."""
     burst = F.coalesce(F.try_divide("sd_len", "mean_len"), F.lit(0.0))
-    band = F.when(burst >= 0.45, "PASS").when(burst <= 0.25, "FLAG").otherwise("MID")
-    dashes = F.when(F.col("em") * 1000 > 1.5 * F.col("words"), "FLAG").otherwise("PASS")
+    band = F.when(burst >= BURSTY, "PASS").when(burst <= FLAT, "FLAG").otherwise("MID")
+    flag = lambda bad: F.when(bad, "FLAG").otherwise("PASS")
+    dashes = flag(F.col("em") * 1000 > DASHES * F.col("words"))
     opener = F.when(F.coalesce("opener_count", F.lit(0)) <= F.greatest(F.lit(3), F.floor(F.coalesce("sentences", F.lit(0)) / 25)), "PASS").otherwise("FLAG")
-    return stats.select("*", band.alias("burstiness_band"), dashes.alias("dash_flag"), opener.alias("opener_flag"))
+    return stats.select("*", band.alias("burstiness_band"), dashes.alias("dash_flag"), opener.alias("opener_flag"), flag(F.col("ellipsis") > 0).alias("ellipsis_flag"), flag(F.col("tells") > 0).alias("word_flag"))

@@ -17,6 +17,7 @@ BLOCKS = [
     ("Mail", "ananya.rao@example.co.in", "EMAIL"),
     ("Amount", "999999999999", None),
     ("Reference", "123456789012", None),
+    ("Tracking", "4539578763621486", None),
     ("Ratio", "5.666666666666667", None),
 ]
 

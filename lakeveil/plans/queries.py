@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums
 from ..operators import audit, pages, patterns, textstats, vault
-from ..sources.readers import conversation_units, document_units, payload, table
+from ..sources.readers import conversation_units, document_units, payload, spread, table
 from .holdout import BLOCKS, block, inject, sql_inject
 
 LEAST = 0.8
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inject(document_units(table(spark, sf_dir, "documents")))
+    return inject(document_units(spread(table(spark, sf_dir, "documents"))))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inject(conversation_units(table(spark, sf_dir, "conversations")))
+    return inject(conversation_units(spread(table(spark, sf_dir, "conversations"))))
 
 
 def _found(units: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def r6_sanitized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def count_candidates(units: DataFrame) -> DataFrame:
     """Matches of every rule by kind, before overlaps are resolved away."""
-    folded = units.withColumn("text", patterns.fold(F.col("text")))
+    folded = units.select("session_id", F.explode(patterns.regions(patterns.scannable(F.col("text")))).alias("text")).where(F.col("text").rlike(patterns.PROMISING))
     parts = []
     for rule in patterns.RULES:
         raw = F.when(F.col("text").rlike(rule.guard), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)))
@@ -154,13 +154,13 @@ def t1_other_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t10_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = textstats.statistics(table(spark, sf_dir, "documents"))
-    return s.select("doc_id", "em", "en", "ellipsis", "semis", "words", "distinct_words", "hapax", "sentences", F.round("mean_len", 6).alias("mean_len"), F.round("sd_len", 6).alias("sd_len"), "short", "long", "opener_count")
+    s = textstats.statistics(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    return s.select("doc_id", "em", "en", "ellipsis", "semis", "words", "distinct_words", "hapax", "sentences", F.round("mean_len", 6).alias("mean_len"), F.round("sd_len", 6).alias("sd_len"), "short", "long", "opener_count", "tells")
 
 
 def t11_text_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = textstats.verdict(textstats.statistics(table(spark, sf_dir, "documents")))
-    return v.groupBy("burstiness_band", "dash_flag", "opener_flag").agg(F.count(F.lit(1)).alias("documents"))
+    v = textstats.verdict(textstats.statistics(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")))
+    return v.groupBy("burstiness_band", "dash_flag", "opener_flag", "ellipsis_flag", "word_flag").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def p1_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _verhoeff_sql(d: str) -> str:
 
 
 def _luhn_sql(d: str, n: int) -> str:
-    digit = lambda i: f"cast(substr({d}, {i}, 1) as int)"
+    digit = lambda i: f"coalesce(try_cast(substr({d}, {i}, 1) as int), 0)"
     parts = [digit(i) if (n - i) % 2 == 0 else f"({digit(i)} * 2 - case when {digit(i)} > 4 then 9 else 0 end)" for i in range(1, n + 1)]
     return f"({' + '.join(parts)}) % 10 = 0"
 
@@ -239,6 +239,7 @@ def oracle_sql() -> dict[str, str]:
         k as (select page_id, seq, case when regexp_matches(raw, '(?is)^<(!|\\?|script\\b|style\\b)') then 'skip' when starts_with(raw, '</') then 'close' when regexp_matches(raw, '^<[A-Za-z]') then 'open' else 'text' end as kind,
               lower(regexp_extract(raw, '^</?\\s*([A-Za-z][A-Za-z0-9-]*)', 1)) as tag from t)"""
     flat = ", ".join(f"'{t}'" for t in pages.FLAT)
+    tells = "|".join(textstats.TELLS).replace("'", "''")
     prose = r"""p as (select doc_id, regexp_replace(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
               lambda s: length(s) >= 45 and not regexp_matches(s, '^(Figure|Table|Priority|Measure|[0-9])')), ' '), '\s+', ' ', 'g') as p from documents),
         q as (select * from p where p <> ''),
@@ -248,25 +249,35 @@ def oracle_sql() -> dict[str, str]:
         o as (select doc_id, max(n) as opener_count from (select doc_id, lower(array_to_string(w[1:2], ' ')) as o, count(*) as n from s group by 1, 2) group by 1),
         v as (select doc_id, w, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(p), '[a-z][a-z''-]*')) as w from q) group by 1, 2),
         u as (select doc_id, sum(c)::bigint as words, count(*) as distinct_words, count(*) filter (c = 1) as hapax from v group by 1),
-        m as (select doc_id, length(p) - length(replace(p, '—', '')) as em, length(p) - length(replace(p, '–', '')) as en, length(p) - length(replace(p, '…', '')) + (length(p) - length(replace(p, '...', ''))) // 3 as ellipsis, length(p) - length(replace(p, ';', '')) as semis from q),
-        r as (select * from m join u using (doc_id) left join l using (doc_id) left join o using (doc_id))"""
+        m as (select doc_id, length(p) - length(replace(p, '—', '')) as em, length(p) - length(replace(p, '–', '')) as en, length(p) - length(replace(p, '…', '')) + (length(p) - length(replace(p, '...', ''))) // 3 as ellipsis, length(p) - length(replace(p, ';', '')) as semis, len(regexp_extract_all(lower(p), '{tells}')) as tells from q),
+        r as (select * from m join u using (doc_id) left join l using (doc_id) left join o using (doc_id))""".replace("{tells}", tells)
     values = ", ".join(f"({k}, {'null' if b[2] is None else repr(b[2])}, '{b[1]}')" for k, b in enumerate(BLOCKS))
+    hit = f"b(k, kind, value) as (values {values}), u as ({turns}), h as (select u.*, b.kind, b.value from u left join b on session_id % {n} = b.k where kind is not null), f as (select * from h union all select u.*, 'AADHAAR', b.value from u join b on session_id % {n} = b.k where b.kind is null and regexp_full_match(b.value, '[2-9][0-9]{{11}}') and {_verhoeff_sql('b.value')} union all select u.*, 'CARD', b.value from u join b on session_id % {n} = b.k where b.kind is null and regexp_full_match(b.value, '[0-9]{{16}}') and {_luhn_sql('b.value', 16)})"
+    shown = "case when length(value) <= 4 then repeat('•', greatest(3, length(value))) else value[1:2] || repeat('•', least(12, length(value) - 3)) || value[-1:] end"
+    clean = f"{hit}, s as (select u.session_id, u.unit_seq, case when f.value is null then u.text else replace(u.text, f.value, '<PII_' || f.kind || '_1>') end as text from u left join f on u.session_id = f.session_id and u.unit_seq = f.unit_seq)"
     return {
+        "r6_sanitized_turns": f"with {clean} select session_id, unit_seq, text from s",
+        "r5_vault": f"with {hit} select session_id, kind, count(distinct value) as tokens, count(distinct value)::bigint as last_n from f group by 1, 2",
+        "r10_withheld": f"with {hit} select session_id, kind, count(*) as withheld from f group by 1, 2",
+        "l1_previews": f"with {hit} select kind, {shown} as preview, count(*) as times from f group by 1, 2",
+        "l3_totals": f"with {hit} select kind, count(*) as withheld, count(distinct session_id) as sessions from f group by rollup (kind)",
+        "v1_leaks": f"with {hit}, v as (select distinct session_id, value from f) select 'sanitized' as channel, 0::bigint as leaks union all select 'raw', count(*) from v join u using (session_id) where contains(u.text, v.value)",
         "d2_candidates": f"with d as ({docs}) select kind, count(*) as candidates, count(*) filter (ok) as verified, count(distinct session_id) as documents from ({d2}) group by 1",
         "d4_aadhaar_rate": f"with r as (select lpad(cast((o_orderkey * 7919 + 234567) * 104729 % 1000000000000 as varchar), 12, '2') as d from orders) select substr(d, 1, 1) as first_digit, count(*) as numbers, count(*) filter (regexp_full_match(d, '[2-9][0-9]{{11}}') and {_verhoeff_sql('d')}) as valid from r group by 1",
         "d5_card_rate": f"with r as (select lpad(cast((o_orderkey * 104729 + 17) * 1299709 % 10000000000000000 as varchar), 16, '4') as d from orders) select substr(d, 1, 1) as first_digit, count(*) as numbers, count(*) filter ({_luhn_sql('d', 16)}) as valid from r group by 1",
         "r12_rehydrated": turns,
-        "t1_injected_score": f"with b(k, kind, value) as (values {values}) select coalesce(kind, 'DECOY') as kind, count(*) as rows, count(*) filter (kind is not null) as hits, count(*) filter (kind is null and regexp_full_match(value, '[2-9][0-9]{{11}}') and {_verhoeff_sql('value')}) as false_alarms from documents join b on doc_id % {n} = k group by 1",
-        "t10_text_statistics": f"with {prose} select doc_id, em, en, ellipsis, semis, words, distinct_words, hapax, sentences, round(mean_len, 6) as mean_len, round(sd_len, 6) as sd_len, short, long, opener_count from r",
+        "t1_injected_score": f"with b(k, kind, value) as (values {values}) select coalesce(kind, 'DECOY') as kind, count(*) as rows, count(*) filter (kind is not null) as hits, count(*) filter (kind is null and (regexp_full_match(value, '[2-9][0-9]{{11}}') and {_verhoeff_sql('value')} or regexp_full_match(value, '[0-9]{{16}}') and {_luhn_sql('value', 16)})) as false_alarms from documents join b on doc_id % {n} = k group by 1",
+        "t10_text_statistics": f"with {prose} select doc_id, em, en, ellipsis, semis, words, distinct_words, hapax, sentences, round(mean_len, 6) as mean_len, round(sd_len, 6) as sd_len, short, long, opener_count, tells from r",
         "t11_text_verdict": f"""with {prose}, x as (select case when coalesce(sd_len / mean_len, 0) >= 0.45 then 'PASS' when coalesce(sd_len / mean_len, 0) <= 0.25 then 'FLAG' else 'MID' end as burstiness_band,
-            case when em * 1000 > 1.5 * words then 'FLAG' else 'PASS' end as dash_flag, case when coalesce(opener_count, 0) <= greatest(3, coalesce(sentences, 0) // 25) then 'PASS' else 'FLAG' end as opener_flag from r)
-            select burstiness_band, dash_flag, opener_flag, count(*) as documents from x group by all""",
+            case when em * 1000 > 1.5 * words then 'FLAG' else 'PASS' end as dash_flag, case when coalesce(opener_count, 0) <= greatest(3, coalesce(sentences, 0) // 25) then 'PASS' else 'FLAG' end as opener_flag,
+            case when ellipsis > 0 then 'FLAG' else 'PASS' end as ellipsis_flag, case when tells > 0 then 'FLAG' else 'PASS' end as word_flag from r)
+            select burstiness_band, dash_flag, opener_flag, ellipsis_flag, word_flag, count(*) as documents from x group by all""",
         "p1_page_tokens": f"with {tagged} select kind, tag, count(*) as tokens, count(distinct page_id) as pages from k group by 1, 2",
         "p1_page_depth": f"""with {tagged}, x as (select page_id, seq, sum(case when tag in ({flat}) then 0 when kind = 'open' then 1 when kind = 'close' then -1 else 0 end) over (partition by page_id order by seq)::bigint as depth from k)
             select page_id, max(depth) as most_depth, min(depth) as least_depth, arg_max(depth, seq) as end_depth, count(*) as tokens from x group by 1""",
         "p22_page_origin": r"""with u as (select lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)', 1) as p from pages)
             select case when s = '' or h = '' then 'about:blank' else s || '://' || h || (case when p = '' or (s = 'http' and p = '80') or (s = 'https' and p = '443') then '' else ':' || p end) end as origin, count(*) as pages from u group by 1""",
         "p24_capture_gate": f"with {tagged} select page_id, count(*) as nodes from k where kind = 'open' group by 1 having count(*) >= 100",
-        "p26_questions": f"select conv_id, turn, coalesce({questions}, false) as is_question from (select conv_id, turn, trim(lower(text), ' ') as g from conversations where role = 'user')",
+        "p26_questions": f"select conv_id, turn, coalesce({questions}, false) as is_question from (select conv_id, turn, regexp_replace(lower(text), '^[\\s]+|[\\s]+$', '', 'g') as g from conversations where role = 'user')",
         "v7_invented": "select distinct conv_id as session_id, '<PII_PAN_77>' as token from conversations",
     }

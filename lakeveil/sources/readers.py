@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where the input has fewer splits than these, as a small single file has; at
+    scale, where splits are many, nothing is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each file of a folder, with its path as url."""
     return spark.read.text(folder, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("page_id"), F.input_file_name().alias("url"), F.col("value").alias("html"))
