@@ -56,12 +56,13 @@ def top_bins(bins: np.ndarray) -> np.ndarray:
 
 
 def fit_profiles(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", fit_rows: int = 1500) -> dict[str, np.ndarray]:
-    """Ranks by bin (SIZE where a bin is not in the profile) for each language, from at most ``fit_rows``
-    rows a language, those with the least hash of their id. Rows whose text or language is null are not used."""
-    picked = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows).select("id", "lang").distinct()
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(picked), ["id", "lang"], "left_semi").select("lang", "text")
+    """Ranks by bin (SIZE where a bin is not in the profile) for each language, from about ``fit_rows`` rows a
+    language: those whose hash of id and text lies below ``fit_rows`` / rows of the language, so that no rows are
+    ranked or gathered. Rows whose id, text or language is null are not used."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    share = known.groupBy("lang").agg((F.lit(float(fit_rows)) / F.count(F.lit(1))).alias("share"))  # one row a language
+    chance = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    rows = known.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -82,9 +83,10 @@ def fit_profiles(docs: DataFrame, text: str = "text", id_col: str = "doc_id", la
     return out
 
 
-def predict(texts: list[str | None], names: list[str], ranks: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The nearest profile of each text, and how far the next one is behind, as a share of its distance."""
-    said, score = [], np.zeros(len(texts))
+def nearest(texts: list[str | None], names: list[str], ranks: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The nearest profile of each text, how far the next one is behind, as a share of its distance, and the text's own
+    distance as a share of the largest possible one (1 where there is no profile or no letter)."""
+    said, score, far = [], np.zeros(len(texts)), np.ones(len(texts))
     for i, t in enumerate(texts):
         bins = gram_bins(t) if t and names else np.zeros(0, np.int64)
         if not len(bins):
@@ -96,7 +98,12 @@ def predict(texts: list[str | None], names: list[str], ranks: np.ndarray) -> tup
         best, other = distance[order[0]], distance[order[1]] if len(order) > 1 else SIZE * len(top)
         said.append(names[order[0]])
         score[i] = (other - best) / other if other else 0.0
-    return said, score
+        far[i] = best / (SIZE * len(top))
+    return said, score, far
+
+
+def predict(texts: list[str | None], names: list[str], ranks: np.ndarray) -> tuple[list[str], np.ndarray]:
+    return nearest(texts, names, ranks)[:2]
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -123,16 +130,22 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a language; nothing is shuffled."""
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", languages: tuple[str, ...] | None = None, most_distance: float = 0.6) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of ``languages`` (all learned ones for None);
+    nothing is shuffled.
+
+    A text goes if it is null, has no letter, lies nearest to a language that is not asked for, or is further than
+    ``most_distance`` of the largest possible out-of-place distance from every profile, as text in another script or
+    of random letters is. (The corpus's own texts, of one word on, lie below 0.46.)"""
     names, column = sorted(profiles), docs.columns.index(text)
+    wanted = set(names if languages is None else languages)
     shared = docs.sparkSession.sparkContext.broadcast((names, np.stack([profiles[n] for n in names]) if names else np.zeros((0, BINS), np.int32)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                said, _ = predict(part.column(column).to_pylist(), *shared.value)
-                yield part.filter(pa.array([name != "und" for name in said]))
+                said, _, far = nearest(part.column(column).to_pylist(), *shared.value)
+                yield part.filter(pa.array([name in wanted and d <= most_distance for name, d in zip(said, far)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
