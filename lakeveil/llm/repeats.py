@@ -16,6 +16,7 @@ and joined back with adaptive skew handling; no group is gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import chunks, gram_hash, prefix, ranges, span_hash, utf8, words
-from .sketch import at_least_two, repeated_bits
+from .sketch import MOST_BITS, at_least_two, cells, repeated_bits, repeated_cells
 
 #: Low bits of a packed minimum: the place of a gram within its chunk.
 PLACE_BITS = 28
@@ -95,9 +96,18 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def anchors_expected(size: int, kind: Windows) -> int:
+    """Anchors of ``size`` bytes of text, about: a window of w grams gives two in w + 1 units; words take five bytes."""
+    return 2 * size // (kind.length - kind.gram + 2) // (1 if kind.bytewise else 5)
+
+
 def segment_rows(rows: DataFrame, kind: Windows, bits: int) -> DataFrame:
     """d, h, start, n, anchor and content of the segments whose anchor the sketch estimates as repeated, and
-    ``own``: whether the same text has an equal segment before."""
+    ``own``: whether the same text has an equal segment before. The sketch has ``bits`` bits or more, by the bytes of
+    all texts; beyond ``MOST_BITS`` its counters are a table that segments are joined to, not a bit map."""
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    wanted = math.ceil(math.log2(4 * anchors_expected(size, kind) + 1))
+    bits = min(62, max(bits, wanted))
 
     def parts(batch: pa.RecordBatch, column: int):
         offsets, data = utf8(batch.column(column))
@@ -108,23 +118,27 @@ def segment_rows(rows: DataFrame, kind: Windows, bits: int) -> DataFrame:
         for _, s in parts(batch, 0):
             yield s.anchor
 
-    found = rows.sparkSession.sparkContext.broadcast(repeated_bits(rows.select("t"), anchors, bits))
+    tabled = bits > MOST_BITS
+    found = None if tabled else rows.sparkSession.sparkContext.broadcast(repeated_bits(rows.select("t"), anchors, bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, s in parts(batch, 2):
-                ok = at_least_two(found.value, s.anchor, bits)
+                ok = np.ones(len(s.anchor), bool) if found is None else at_least_two(found.value, s.anchor, bits)
                 at = s.text[ok] + lo
                 order = np.lexsort((s.start[ok], s.content[ok], at))
                 same = (s.content[ok][order[1:]] == s.content[ok][order[:-1]]) & (at[order[1:]] == at[order[:-1]])
                 own = np.zeros(len(at), bool)
                 own[order[1:][same]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(texts[at]), pa.array(s.start[ok].astype(np.int32)), pa.array(s.count[ok].astype(np.int32)), _signed(s.anchor[ok]), _signed(s.content[ok]), pa.array(own)], names=["d", "h", "start", "n", "anchor", "content", "own"]
-                )
+                columns = [pa.array(ids[at]), pa.array(texts[at]), pa.array(s.start[ok].astype(np.int32)), pa.array(s.count[ok].astype(np.int32)), _signed(s.anchor[ok]), _signed(s.content[ok]), pa.array(own)]
+                if tabled:
+                    columns.append(pa.array(cells(s.anchor[ok], 0, bits)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select("d", "h", "t").mapInArrow(emit, "d bigint, h bigint, start int, n int, anchor bigint, content bigint, own boolean")
+    names = ["d", "h", "start", "n", "anchor", "content", "own", *(["cell"] if tabled else [])]
+    out = rows.select("d", "h", "t").mapInArrow(emit, "d bigint, h bigint, start int, n int, anchor bigint, content bigint, own boolean" + (", cell bigint" if tabled else ""))
+    return out.join(repeated_cells(rows.select("t"), anchors, bits), "cell", "left_semi").drop("cell") if tabled else out
 
 
 def sort_out(found: DataFrame, within: bool) -> DataFrame:
@@ -140,8 +154,8 @@ def sort_out(found: DataFrame, within: bool) -> DataFrame:
 
 
 def by_row(found: DataFrame, *columns: str) -> DataFrame:
-    """One row for each text, with its segments as an array: at most as many as the text has."""
-    return found.groupBy("d", "h").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+    """One row for each text, with its segments as an array: at most as many as the text has, however often the row is repeated."""
+    return found.groupBy("d", "h").agg(F.collect_set(F.struct(*columns)).alias("parts"))
 
 
 def finish(rows: DataFrame, spans: DataFrame, id_type: str, schema: str, describe: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[pa.Array]]) -> DataFrame:
