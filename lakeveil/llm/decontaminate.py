@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact verification.
 
 Texts are words in lower case (A-Z); distances are word edits. An item of n words is in a text if a passage
-of it is within floor(``tolerance`` * n) edits.
+of it is within floor(``tolerance`` * n) edits; of items under ``min_words`` words, without edits.
 
 1. Windows. An item with at most d edits keeps one of d + 1 pieces whole, so item-sized windows are laid
    only where the first words (four at most) of a piece of an item stand, at the piece's distance from
@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .arrowtext import chunks, gram_hash, mix, prefix, span_hash, utf8, words
 
 WALKS, SAMPLES, AGREE = 6, 3, 0.5
+#: Embedded places (8 bytes each) held at a time, by the driver for items and by a task for windows.
+MOST_CELLS = 1 << 22
+BLOCK_BYTES = 1 << 25
 SEED_WORDS, SIEVE_BITS = 4, 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -69,6 +72,26 @@ def signatures(symbols: np.ndarray, lengths: np.ndarray, seed: int, recall: floa
     return out
 
 
+def batches_by_length(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices in order of length, in parts whose embedding takes at most ``MOST_CELLS`` places or that are one row:
+    a long row never pads short ones."""
+    order = np.argsort(lengths, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        step = 1
+        while hi < len(order):  # widen by doubling, then stop where the bound is met
+            until = min(len(order), hi + step)
+            if 3 * WALKS * int(lengths[order[until - 1]]) * (until - lo) > MOST_CELLS or lengths[order[until - 1]] > 2 * lengths[order[lo]] + 16:
+                if step == 1:
+                    break
+                step = 1
+                continue
+            hi, step = until, 2 * step
+        yield order[lo:hi]
+        lo = hi
+
+
 def passage_distance(item: list[int], passage: list[int]) -> int:
     """Least number of word edits between ``item`` and any part of ``passage`` (bit-parallel)."""
     m = len(item)
@@ -115,9 +138,9 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def prepare(ids: list, texts: list[str], tolerance: float, min_words: int, seed: int = 11, recall: float = 0.995) -> Items:
-    found = [(i, w) for i, w in zip(ids, word_hashes(texts)) if len(w) >= min_words]
+    found = [(i, w) for i, w in zip(ids, word_hashes(texts)) if len(w)]
     lengths = np.array([len(w) for _, w in found], np.int64)
-    edits = np.floor(tolerance * lengths + 1e-9).astype(np.int64)
+    edits = np.where(lengths < min_words, 0, np.floor(tolerance * lengths + 1e-9)).astype(np.int64)
     rows: dict[int, list[tuple[int, int, int]]] = {}
     for k, (_, w) in enumerate(found):
         pieces = int(edits[k]) + 1
@@ -132,10 +155,12 @@ def prepare(ids: list, texts: list[str], tolerance: float, min_words: int, seed:
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[(hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
         seeds[q] = (sieve, hashes, np.array([r[1] for r in all_rows]), np.array([r[2] for r in all_rows]))
-    matrix = np.zeros((len(found), int(lengths.max(initial=1))), np.uint64)
-    for k, (_, w) in enumerate(found):
-        matrix[k, : len(w)] = w
-    keys = signatures(matrix, lengths, seed, recall)
+    keys = np.zeros((tables(recall), len(found)), np.uint64)
+    for part in batches_by_length(lengths):
+        matrix = np.zeros((len(part), int(lengths[part].max(initial=1))), np.uint64)
+        for row, k in enumerate(part):
+            matrix[row, : lengths[k]] = found[k][1]
+        keys[:, part] = signatures(matrix, lengths[part], seed, recall)
     order = np.argsort(keys, axis=1, kind="stable")
     return Items([i for i, _ in found], [w for _, w in found], lengths, edits, seeds, np.take_along_axis(keys, order, 1), order, seed, recall)
 
@@ -172,8 +197,8 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
     hashes = span_hash(prefix(low), starts, ends)
     windows = find_windows(hashes, first, items)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for lo in range(0, len(windows), 2000):
-        part = windows[lo : lo + 2000]
+    for own_part in batches_by_length(windows[:, 2]):
+        part = windows[own_part]
         width = int(part[:, 2].max())
         at = part[:, 1:2] + np.arange(width)
         inside = (np.arange(width) < part[:, 2:3]) & (at < first[part[:, 0] + 1][:, None])
@@ -197,9 +222,10 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block: int, **how) -> Iterator[Items]:
-    """The benchmark in blocks of at most ``block`` rows, each small enough for the driver."""
+    """The benchmark in blocks of about ``block`` rows and ``BLOCK_BYTES`` bytes, each small enough for the driver."""
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text")).distinct()
-    count = -(-rows.count() // block)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    count = max(-(-size["n"] // block), -(-size["bytes"] // BLOCK_BYTES))
     for k in range(count):
         own = rows if count == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
         found = sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r))
@@ -210,8 +236,8 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col: st
     """id, item_id, distance (word edits), item_words and start (the matched window's first word) for every
     text and item of the benchmark in it.
 
-    Null and empty texts have none; items under ``min_words`` words are not looked for, as they don't
-    identify a benchmark. Repeated rows give repeated results, a null id stays null, an empty table on
+    Null and empty texts have none, nor have items without words. Items under ``min_words`` words are looked for
+    exactly, without edits; ``item_words`` lets callers leave them out. Repeated rows give repeated results, a null id stays null, an empty table on
     either side gives an empty table; other columns are not read."""
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int, item_words int, start int"
@@ -238,7 +264,7 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", tolerance: float = 0.2, min_words: int = 8, recall: float = 0.995, block: int = 20_000) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of the benchmark; nothing is shuffled. Rows with
-    a null or empty text stay."""
+    a null or empty text stay. Items under ``min_words`` words drop the texts that hold them word for word."""
     context = docs.sparkSession.sparkContext
     for found in _blocks(items, item_id, text, block, tolerance=tolerance, min_words=min_words, recall=recall):
         shared, column = context.broadcast(found), docs.columns.index(text)
