@@ -1,6 +1,6 @@
 """Soft-membership mixing to target weights; DataFrame operations only.
 
-1. A naive Bayes classifier over words in ``2**BITS`` hashed buckets is fitted on a bounded number of rows of a
+1. A naive Bayes classifier over words and runs of marks in ``2**BITS`` hashed buckets is fitted on a bounded number of rows of a
    labelled table. It counts rows that have a word, not the word's occurrences, and uses only words whose
    share of a domain's rows is far from that domain's share of all rows (``least_z`` standard deviations).
    Without that choice the many words that tell nothing outweigh the few that do.
@@ -31,14 +31,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _buckets(words: Column) -> Column:
-    """Hash buckets of words; a word that ends in a symbol counts as its last three characters."""
-
-    def bucket(w: Column) -> Column:
-        told = F.when(F.substring(w, -1, 1).isin(*"#*$%&"), F.substring(w, -3, 3)).otherwise(w)
-        return F.pmod(F.xxhash64(told), F.lit(1 << BITS)).cast("int")
-
-    return F.transform(words, bucket)
+def _buckets(text: Column) -> Column:
+    """Hash buckets of a text's features: runs of letters and digits, and runs of other marks."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+    return F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << BITS)).cast("int"))
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -62,11 +58,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", te
 
     A word is used if at least ``least_rows`` rows have it and a domain's count of it is ``least_z`` standard
     deviations off; at most ``most_words`` are, those furthest off. Counts are shrunk to the domains' shares
-    as if ``shrink`` more rows had the word."""
+    as if ``shrink`` more rows had the word. Both bounds, of rows and of words, hold the model's size; texts are read whole."""
     chosen = labelled.select(F.col(id_col).alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = durable(rows.select("__domain", F.array_distinct(_buckets(_words(F.col("__text")))).alias("__b")))
+    rows = durable(rows.select("__domain", F.array_distinct(_buckets(F.col("__text"))).alias("__b")))
     counted = rows.groupBy("__domain").count().orderBy("__domain").collect()  # one row a domain
     names, share = [r["__domain"] for r in counted], [r["count"] / sum(x["count"] for x in counted) for r in counted]
     if len(names) < 2:
@@ -85,9 +81,8 @@ def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: st
     A text without telling words has the prior. Evidence is summed up where the text is read; only a few
     numbers for each row are shuffled."""
     d = len(model.domains)
-    rows = docs.select(*row_key, _words(F.col(text)).alias("__words"))
-    told = F.array_intersect(_buckets(F.col("__words")), _constant(model.buckets, "int"))
-    rows = rows.select(*row_key, F.size("__words").cast("long").alias("__n"), told.alias("__told"))
+    told = F.array_intersect(_buckets(F.col(text)), _constant(model.buckets, "int"))
+    rows = docs.select(*row_key, F.size(_words(F.col(text))).cast("long").alias("__n"), told.alias("__told"))
     rows = rows.select(*row_key, "__n", F.posexplode_outer("__told").alias("__at", "__bucket"))
     names = ["__bucket", *(f"__w{k}" for k in range(d))]
     table = [_constant(model.buckets, "int"), *(_constant(w, "double") for w in model.weights)]
@@ -114,17 +109,16 @@ def rate(steps: list[np.ndarray]) -> Column:
     return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps whose fold gives each row's rate, and the totals reached as shares of all tokens.
-
-    Stops once every domain's share is within ``tolerance`` of its target, or after ``most_steps`` steps."""
+def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 100, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """The steps whose fold gives each row's rate, the totals reached as shares of all tokens, and whether every
+    domain's share is within ``tolerance`` of its target; if not, ``most_steps`` steps didn't suffice."""
     d, t = len(targets), F.col("tokens").cast("double")
     goal = np.array(targets, float) / sum(targets)
     p = [F.col("posterior")[k] for k in range(d)]
     gram = members.agg(F.sum(t).alias("all"), *(F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
     total = gram["all"] or 0.0
     if not total:
-        return [], goal
+        return [], goal, True
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / total
     metric = np.linalg.inv(g + np.eye(d) * 1e-6)
     steps: list[np.ndarray] = []
@@ -132,13 +126,15 @@ def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 40, to
         r = rate(steps)
         sums = members.select((r * t).alias("__rt"), *(p[k].alias(f"__p{k}") for k in range(d))).agg(*(F.sum(F.col("__rt") * F.col(f"__p{k}")).alias(f"s{k}") for k in range(d))).first()
         reached = np.array([sums[f"s{k}"] for k in range(d)]) / total
-        if np.abs(reached - goal).max() <= tolerance or len(steps) >= most_steps:
-            return steps, reached
+        near = bool(np.abs(reached - goal).max() <= tolerance)
+        if near or len(steps) >= most_steps:
+            return steps, reached, near
         steps.append(metric @ (reached - goal))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], row_key: tuple[str, ...] = ("doc_id",), text: str = "text", id_col: str = "doc_id", **fit: float) -> DataFrame:
-    """One row for each distinct row key that has words: the key, tokens, posterior (map by domain) and rate.
+    """One row for each distinct row key that has words: the key, tokens, posterior (map by domain), rate, and the same in
+    all rows, ``reached`` (the expected share of all tokens by domain under the rates) and ``on_target``.
 
     ``targets`` are weights by domain; a domain without a target has weight 0, targets of domains that no
     labelled row has are left out and the others rescaled. Rows without words are not in the result (their
@@ -147,11 +143,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], row_key
     key = list(row_key)
     if not model.domains or not sum(targets.get(n, 0) for n in model.domains):
         words = docs.select(*key, F.size(_words(F.col(text))).cast("long").alias("__n")).where("__n > 0")
-        return words.groupBy(*key).agg(F.sum("__n").alias("tokens")).select(*key, "tokens", F.expr("cast(map() as map<string,double>)").alias("posterior"), F.lit(1.0).alias("rate"))
+        return words.groupBy(*key).agg(F.sum("__n").alias("tokens")).select(*key, "tokens", F.expr("cast(map() as map<string,double>)").alias("posterior"), F.lit(1.0).alias("rate"), F.expr("cast(map() as map<string,double>)").alias("reached"), F.lit(False).alias("on_target"))
     members = durable(posteriors(docs, model, key, text))
-    steps, _ = fit_rates(members, [float(targets.get(n, 0)) for n in model.domains])
+    steps, reached, near = fit_rates(members, [float(targets.get(n, 0)) for n in model.domains])
     names = F.array(*(F.lit(n) for n in model.domains))
-    return members.withColumn("rate", rate(steps)).select(*key, "tokens", F.map_from_arrays(names, F.col("posterior")).alias("posterior"), "rate")
+    return members.withColumn("rate", rate(steps)).select(*key, "tokens", F.map_from_arrays(names, F.col("posterior")).alias("posterior"), "rate", F.map_from_arrays(names, _constant([float(v) for v in reached], "double")).alias("reached"), F.lit(near).alias("on_target"))
 
 
 def copies(rate_col: Column, *keys: Column) -> Column:
