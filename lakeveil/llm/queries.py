@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Weights of the mixture by domain of the labels: fit text, unfit text, toxic text.
-TARGETS = {"good": 0.8, "junk": 0.12, "toxic": 0.08}
+#: Weights of the mixture by domain of the labels: fit text, unfit text, toxic text. More than the corpus has of the
+#: first, for what a model should learn, and a trace of the others, which it must know to tell.
+TARGETS = {"good": 0.86, "junk": 0.08, "toxic": 0.06}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rates = mixing.mix(docs, label_domains(labels), TARGETS)
     shares = [F.element_at("posterior", F.lit(n)).alias(f"p_{n}") for n in TARGETS]
-    return rates.select("doc_id", "tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rates.select("doc_id", "tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), "reached", "on_target")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +80,46 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base verdict of operator 4, which SQL can tell."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of operator 5: rows, slots and bytes by shard do not depend on the draw but for the bytes."""
+    dealt = op5_shard_documents(spark, sf_dir)
+    return dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("slots"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule spans of operator 7, counted by kind."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict:
     own = (op1_decontaminate, op2_mix_sources, op3_simhash_dedup, op4_quality_rules, op5_shard_documents, op6_language_id, op7_secret_scan, op8_suffix_dedup, op9_token_counts, op10_substring_dedup)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in (*own, quality_base_counts, shard_law, secret_base_counts)}
+
+
+#: The words of every document, and whether each word lies in a window of {n} words for which {hit} holds.
+_WORDS = r"w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w, coalesce(text, '') as t from documents)"
+_WINDOWS = "p as (select doc_id, w, unnest(range(1, len(w) - {n} + 2)) as i from w where len(w) >= {n}), k as (select doc_id, i, md5(array_to_string(w[i : i + {n} - 1], ' ')) as key from p)"
+_COVERED = "u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w), c as (select u.doc_id, u.i, u.x, coalesce(sum(h.one) over (partition by u.doc_id order by u.i rows between {n} - 1 preceding and current row), 0) > 0 as gone from u left join h on u.doc_id = h.doc_id and u.i = h.i)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    windows = lambda n: _WINDOWS.replace("{n}", str(n))
+    covered = lambda n: _COVERED.replace("{n}", str(n))
+    return {
+        "op10_substring_dedup": f"""with {_WORDS}, {windows(50)}, f as (select key, min(doc_id) as first from k group by key), h as (select doc_id, i, 1 as one from k join f using (key) where doc_id > first), {covered(50)},
+            g as (select doc_id, count(*) filter (gone) as n_removed, array_to_string(list(x order by i) filter (not gone), ' ') as kept from c group by doc_id)
+            select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join g using (doc_id)""",
+        "quality_base_counts": f"""with {_WORDS}, {windows(8)}, f as (select doc_id, key from k group by all having count(*) > 1), h as (select doc_id, i, 1 as one from k semi join f using (doc_id, key)), {covered(8)},
+            r as (select doc_id, count(*) filter (gone) as n from c group by doc_id),
+            l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^ \t\n\x0B\f\r]') group by doc_id),
+            b as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words from w left join l using (doc_id) left join r using (doc_id))
+            select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b""",
+        "shard_law": "with n as (select count(*) as n from documents), s as (select unnest(range(40)) as shard, n from n), r as (select shard, n // 40 + (shard < n % 40)::int as rows from s) select shard::int as shard, rows::bigint as rows, 0::bigint as first_slot, (rows - 1)::bigint as last_slot, rows::bigint as slots from r where rows > 0",
+        "secret_base_counts": r"""select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::bigint as n_assign,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex from documents""",
+    }
