@@ -2,12 +2,13 @@
 
 1. A naive Bayes classifier over words and runs of marks in ``2**BITS`` hashed buckets is fitted on a bounded number of rows of a
    labelled table. It counts rows that have a word, not the word's occurrences, and uses only words whose
-   share of a domain's rows is far from that domain's share of all rows (``least_z`` standard deviations).
-   Without that choice the many words that tell nothing outweigh the few that do.
+   share of a domain's rows is far from that domain's share of all different words by row (``least_z`` standard deviations).
+   Without that choice the many words that tell nothing outweigh the few that do. Words come at a rate per
+   different word of a text (a Poisson model), so that a telling word says less in a long text, where one is to be expected.
 2. Every row gets a posterior over the domains.
 3. Document rates r >= 0 minimise (S(r) - T)' M (S(r) - T), where S_d(r) = sum of r * tokens * posterior_d over
    all rows, T_d = weight_d * all tokens and M is the inverse of the Gram matrix of the posteriors, so that
-   correlated domains don't slow the descent. Projected gradient steps start from r = 1 and are scaled by
+   correlated domains don't slow the descent. Accelerated projected gradient steps start from r = 1 and are scaled by
    each row's tokens (a diagonal metric, in which the projection is still max(0, .)); in that metric the
    largest eigenvalue is one, and so is the step. A step needs only the D totals S_d, which Spark
    aggregates; a row's rate is a fold over the steps' D-vectors, so no table is rewritten between steps.
@@ -44,12 +45,14 @@ def _constant(values: list, kind: str) -> Column:
 
 @dataclass
 class DomainModel:
-    """Domains in order, log priors, the buckets in use, and their log-likelihood ratios by domain."""
+    """Domains in order, log priors, the buckets in use, their log-likelihood ratios by domain, and what each different word of
+    a text takes off by domain: how many more of these features a domain has a word than all rows have."""
 
     domains: list[str]
     prior: list[float]
     buckets: list[int]
     weights: list[list[float]]
+    per_word: list[float]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text", id_col: str = "doc_id", fit_rows: int = 10_000, most_words: int = 2000, least_z: float = 6.0, least_rows: int = 5, shrink: float = 10.0) -> DomainModel:
@@ -57,22 +60,25 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "domain", te
     of their id). Rows with a null id or domain are not used; an id with two domains counts for the first.
 
     A word is used if at least ``least_rows`` rows have it and a domain's count of it is ``least_z`` standard
-    deviations off; at most ``most_words`` are, those furthest off. Counts are shrunk to the domains' shares
-    as if ``shrink`` more rows had the word. Both bounds, of rows and of words, hold the model's size; texts are read whole."""
+    deviations off what its share of all words lets expect; at most ``most_words`` are, those furthest off. Counts are shrunk
+    to the domains' shares as if ``shrink`` more rows had the word. Both bounds, of rows and of words, hold the model's size; texts are read whole."""
     chosen = labelled.select(F.col(id_col).alias("__id"), F.col(domain).cast("string").alias("__domain")).dropna().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = durable(rows.select("__domain", F.array_distinct(_buckets(F.col("__text"))).alias("__b")))
-    counted = rows.groupBy("__domain").count().orderBy("__domain").collect()  # one row a domain
-    names, share = [r["__domain"] for r in counted], [r["count"] / sum(x["count"] for x in counted) for r in counted]
+    rows = durable(rows.select("__domain", F.array_distinct(_buckets(F.col("__text"))).alias("__b")).withColumn("__n", F.size("__b")))
+    counted = rows.groupBy("__domain").agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("n")).orderBy("__domain").collect()  # one row a domain
+    total = sum(r["n"] for r in counted)
+    names, prior = [r["__domain"] for r in counted], [float(np.log(r["rows"] / sum(x["rows"] for x in counted))) for r in counted]
+    share = [max(r["n"], 1) / max(total, 1) for r in counted]
     if len(names) < 2:
-        return DomainModel(names, [0.0] * len(names), [], [[] for _ in names])
+        return DomainModel(names, [0.0] * len(names), [], [[] for _ in names], [0.0] * len(names))
     counts = rows.select("__domain", F.explode("__b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("__domain") == d).alias(f"c{k}") for k, d in enumerate(names)))
     off = F.greatest(*(F.abs(F.col(f"c{k}") - F.col("n") * q) / F.sqrt(F.col("n") * q * (1 - q)) for k, q in enumerate(share)))
     told = counts.where(F.col("n") >= least_rows).withColumn("off", off).where(F.col("off") >= least_z)
     weight = [F.log((F.col(f"c{k}") + shrink * q) / (F.col("n") + shrink) / q).alias(f"w{k}") for k, q in enumerate(share)]
-    table = told.select("bucket", "off", *weight).orderBy(F.desc("off"), "bucket").limit(most_words).collect()
-    return DomainModel(names, [float(np.log(q)) for q in share], [r["bucket"] for r in table], [[round(r[f"w{k}"], 6) for r in table] for k in range(len(names))])
+    table = told.select("bucket", "n", "off", *weight).orderBy(F.desc("off"), "bucket").limit(most_words).collect()
+    per_word = [float(sum(r["n"] * np.expm1(r[f"w{k}"]) for r in table)) / max(total, 1) for k in range(len(names))]
+    return DomainModel(names, prior, [r["bucket"] for r in table], [[round(r[f"w{k}"], 6) for r in table] for k in range(len(names))], per_word)
 
 
 def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: str = "text") -> DataFrame:
@@ -81,35 +87,49 @@ def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: st
     A text without telling words has the prior. Evidence is summed up where the text is read; only a few
     numbers for each row are shuffled."""
     d = len(model.domains)
-    told = F.array_intersect(_buckets(F.col(text)), _constant(model.buckets, "int"))
-    rows = docs.select(*row_key, F.size(_words(F.col(text))).cast("long").alias("__n"), told.alias("__told"))
-    rows = rows.select(*row_key, "__n", F.posexplode_outer("__told").alias("__at", "__bucket"))
+    own = F.array_distinct(_buckets(F.col(text)))
+    rows = docs.select(*row_key, F.size(_words(F.col(text))).cast("long").alias("__n"), own.alias("__own"))
+    rows = rows.select(*row_key, "__n", F.size("__own").alias("__u"), F.array_intersect("__own", _constant(model.buckets, "int")).alias("__told"))
+    rows = rows.select(*row_key, "__n", "__u", F.posexplode_outer("__told").alias("__at", "__bucket"))
     names = ["__bucket", *(f"__w{k}" for k in range(d))]
     table = [_constant(model.buckets, "int"), *(_constant(w, "double") for w in model.weights)]
     weights = docs.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(table, names))).select(F.inline(F.arrays_zip(*names)))  # most_words rows at most
     rows = rows.join(F.broadcast(weights), "__bucket", "left")
-    words = F.sum(F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__n")))
-    sums = rows.groupBy(*row_key).agg(words.alias("tokens"), *(F.coalesce(F.sum(f"__w{k}"), F.lit(0.0)).alias(f"__s{k}") for k in range(d))).where("tokens > 0")
-    logit = [F.col(f"__s{k}") + model.prior[k] for k in range(d)]
+    once = lambda c: F.sum(F.when(F.coalesce("__at", F.lit(0)) == 0, F.col(c)))
+    sums = rows.groupBy(*row_key).agg(once("__n").alias("tokens"), once("__u").alias("__u"), *(F.coalesce(F.sum(f"__w{k}"), F.lit(0.0)).alias(f"__s{k}") for k in range(d))).where("tokens > 0")
+    logit = [F.col(f"__s{k}") + F.lit(model.prior[k]) - F.col("__u") * F.lit(model.per_word[k]) for k in range(d)]
     top = F.greatest(*logit) if d > 1 else logit[0]
     odds = [F.exp(x - top) for x in logit]
     return sums.select(*row_key, "tokens", F.array(*(o / sum(odds[1:], odds[0]) for o in odds)).alias("posterior"))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """The projected-gradient fold: r = max(0, r - step . posterior) for each step, from 1."""
+def momentum(step: int) -> float:
+    """How far a step goes on in the direction of the last one, by the step's number from 0."""
+    return max(0.0, (step - 1) / (step + 2))
+
+
+def rates(steps: list[np.ndarray]) -> Column:
+    """The accelerated projected-gradient fold, from r = 1: y = r + m * (r - last r), r = max(0, y - step . posterior).
+    struct<r, y>: the rate, and the point from which the next step goes."""
+    begin = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
-        return F.lit(1.0)
-    history = F.from_json(F.lit(str([[float(v) for v in s] for s in steps])), "array<array<double>>")
+        return begin
+    d = len(steps[0])
+    history = F.from_json(F.lit(str([[*(float(v) for v in s), momentum(k + 1)] for k, s in enumerate(steps)])), "array<array<double>>")
 
-    def dot(s: Column) -> Column:
-        parts = [s[k] * F.col("posterior")[k] for k in range(len(steps[0]))]
-        return sum(parts[1:], parts[0])
+    def fold(state: Column, s: Column) -> Column:
+        parts = [s[k] * F.col("posterior")[k] for k in range(d)]
+        r = F.greatest(F.lit(0.0), state["y"] - sum(parts[1:], parts[0]))
+        return F.struct(r.alias("r"), (r + s[d] * (r - state["r"])).alias("y"))
 
-    return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(history, begin, fold)
+
+
+def rate(steps: list[np.ndarray]) -> Column:
+    return rates(steps)["r"]
 
 
-def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 100, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray, bool]:
+def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 40, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray, bool]:
     """The steps whose fold gives each row's rate, the totals reached as shares of all tokens, and whether every
     domain's share is within ``tolerance`` of its target; if not, ``most_steps`` steps didn't suffice."""
     d, t = len(targets), F.col("tokens").cast("double")
@@ -123,13 +143,13 @@ def fit_rates(members: DataFrame, targets: list[float], most_steps: int = 100, t
     metric = np.linalg.inv(g + np.eye(d) * 1e-6)
     steps: list[np.ndarray] = []
     while True:
-        r = rate(steps)
-        sums = members.select((r * t).alias("__rt"), *(p[k].alias(f"__p{k}") for k in range(d))).agg(*(F.sum(F.col("__rt") * F.col(f"__p{k}")).alias(f"s{k}") for k in range(d))).first()
-        reached = np.array([sums[f"s{k}"] for k in range(d)]) / total
+        state = members.select(rates(steps).alias("__s"), t.alias("__t"), *(p[k].alias(f"__p{k}") for k in range(d)))
+        sums = state.agg(*(F.sum(F.col(f"__s.{x}") * F.col("__t") * F.col(f"__p{k}")).alias(f"{x}{k}") for x in "ry" for k in range(d))).first()
+        reached, ahead = (np.array([sums[f"{x}{k}"] for k in range(d)]) / total for x in "ry")
         near = bool(np.abs(reached - goal).max() <= tolerance)
         if near or len(steps) >= most_steps:
             return steps, reached, near
-        steps.append(metric @ (reached - goal))
+        steps.append(metric @ (ahead - goal))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], row_key: tuple[str, ...] = ("doc_id",), text: str = "text", id_col: str = "doc_id", **fit: float) -> DataFrame:

@@ -263,7 +263,7 @@ def test_mixing_needs_only_the_words_that_tell(spark):
     model = mixing.fit_domains(docs, labels)
     got = {x["doc_id"]: dict(zip(model.domains, x["posterior"])) for x in mixing.posteriors(docs, model, ["doc_id"]).where("doc_id >= 300").collect()}
     assert all(max(p, key=p.get) == {0: "bad", 1: "odd"}.get(k % 5, "good") for k, p in got.items())
-    assert all(abs(p["good"] - 0.6) < 0.01 for k, p in got.items() if k % 5 > 1)  # no telling word: the prior
+    assert all(p["good"] > 0.6 for k, p in got.items() if k % 5 > 1)  # that no telling word is there tells something too: above the prior
     rates = {x["doc_id"]: x["rate"] for x in mixing.mix(docs, labels, {"good": 0.8, "odd": 0.15, "bad": 0.05}).collect()}
     assert all(v >= 1 for k, v in rates.items() if k % 5 > 1) and all(v < 0.6 for k, v in rates.items() if k % 5 == 0)
 

@@ -43,9 +43,10 @@ def test_rates_match_a_dense_solution(spark):
     got = np.array([x["rate"] for x in members.select(mixing.rate(steps).alias("rate")).collect()])
     share = tokens[:, None] * p / tokens.sum()
     metric = np.linalg.inv(p.T @ (share) + np.eye(3) * 1e-6)
-    dense = np.ones(60)
-    for _ in range(len(steps)):
-        dense = np.maximum(0, dense - p @ (metric @ (dense @ share - goal)))
+    dense = ahead = np.ones(60)
+    for k in range(len(steps)):
+        last, dense = dense, np.maximum(0, ahead - p @ (metric @ (ahead @ share - goal)))
+        ahead = dense + mixing.momentum(k + 1) * (dense - last)
     assert near and np.allclose(got, dense, atol=1e-6) and np.allclose(got @ share, reached, atol=1e-9) and np.abs(reached - goal).max() <= 1e-3
     assert not mixing.fit_rates(members, goal.tolist(), most_steps=0)[2]
 
