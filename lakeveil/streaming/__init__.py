@@ -1 +1 @@
-"""See the package README."""
+"""Streaming forms of the operators."""
