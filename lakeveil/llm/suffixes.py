@@ -65,7 +65,7 @@ def previous_factors(order: np.ndarray, shares: np.ndarray, d: np.ndarray, h: np
 
 def _wanted(rows: DataFrame, found: DataFrame) -> DataFrame:
     """d, h, t and the first segments of each text that share their anchor with other contents, ``deals`` in parts."""
-    rest = by_row(found.where("not covered and shared is not null").withColumn("deals", F.ceil(F.col("shared") / MOST).cast("int")), "start", "n", "anchor", "deals")
+    rest = by_row(found.withColumn("deals", F.ceil(F.col("shared") / MOST).cast("int")), "start", "n", "anchor", "deals")
     parts = [F.col(f"parts.{c}").alias(c) for c in ("start", "n", "anchor", "deals")]
     return rest.join(rows.select("d", "h", "t"), ["d", "h"]).select("d", "h", "t", *parts)
 
@@ -173,9 +173,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", le
     64-bit hashes, and runs of strings that have equal 64-bit hashes count as equal."""
     kind = Windows(length, min(32, max(1, length // 2)), True)
     rows = keyed(docs, text, id_col)
-    found = sort_out(segment_rows(rows, kind, bits), within=True)
-    wanted = _wanted(rows, found)
-    spans = found.where("covered").select("d", "h", "start", "n").unionByName(_factors(_segments(wanted, kind), length)).unionByName(_repeated_singles(wanted, kind))
+    found = durable(sort_out(segment_rows(rows, kind, bits), within=True))  # read three times
+    firsts = found.where("not covered and shared is not null")
+    few, many = _wanted(rows, firsts.where(F.col("shared") <= MOST)), _wanted(rows, firsts.where(F.col("shared") > MOST))
+    spans = found.where("covered").select("d", "h", "start", "n").unionByName(_factors(_segments(few, kind), length)).unionByName(_repeated_singles(many, kind))
 
     def describe(data: np.ndarray, offsets: np.ndarray, parts: list[np.ndarray]) -> list[pa.Array]:
         row, start, count = parts
