@@ -23,6 +23,12 @@ def tokens(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", "seq", kind.alias("kind"), tag.alias("tag"), text.alias("text"))
 
 
+def capturable(pages: DataFrame, captured: DataFrame | None = None, least: int = 100) -> DataFrame:
+    """page_id and nodes (opening tags) of pages with ``least`` nodes or more whose url is not among those of ``captured``."""
+    fresh = pages.join(captured.select("url").distinct(), "url", "left_anti") if captured is not None else pages
+    return tokens(fresh).where("kind = 'open'").groupBy("page_id").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= least)
+
+
 def with_depth(found: DataFrame) -> DataFrame:
     """Depth at each token; tags in FLAT add none."""
     from pyspark.sql import Window

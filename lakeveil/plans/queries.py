@@ -180,8 +180,7 @@ def p22_page_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p24_capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with 100 opening tags or more."""
-    opened = pages.tokens(table(spark, sf_dir, "pages")).where("kind = 'open'").groupBy("page_id").agg(F.count(F.lit(1)).alias("nodes"))
-    return opened.where("nodes >= 100")
+    return pages.capturable(table(spark, sf_dir, "pages"))
 
 
 def p26_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
