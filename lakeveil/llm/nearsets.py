@@ -18,7 +18,7 @@ than two of them. A band of n texts that lie just under the similarity needs up
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 TURNS, SHIFTS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
+#: Makes the BANDS * ROWS values of each text's set from all hashes and where each text's begin; a band has ROWS neighbours of them.
+Sign = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +55,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     return hashes[once], np.searchsorted(text[once], np.arange(len(n) + 1))
 
 
-def _signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the hash of its set, its band keys and its two words of sketch bits."""
-    n = len(first) - 1
-    node = span_hash(prefix(hashes), first[:-1], first[1:])
+def minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each set: the least of its hashes under each of BANDS * ROWS permutations; zeros for an empty set."""
     full = np.flatnonzero(first[1:] > first[:-1])
-    least = np.zeros((n, BANDS * ROWS), np.uint64)
+    least = np.zeros((len(first) - 1, BANDS * ROWS), np.uint64)
     if len(full):
         for k in range(BANDS * ROWS):
             least[full, k] = np.minimum.reduceat(hashes * TURNS[k] + SHIFTS[k], first[full])
-    least = mix(least)
+    return least
+
+
+def _signatures(hashes: np.ndarray, first: np.ndarray, sign: Sign) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the hash of its set, its band keys and its two words of sketch bits."""
+    n = len(first) - 1
+    node = span_hash(prefix(hashes), first[:-1], first[1:])
+    least = mix(sign(hashes, first))
     keys = np.zeros((n, BANDS), np.uint64)
     for k in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
@@ -76,18 +83,19 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _prints(own: DataFrame, shingle: int) -> DataFrame:
-    """id, tx, node, bands, s0 and s1 of every row of ``own`` (id, tx, t)."""
+def _prints(own: DataFrame, shingle: int, sign: Sign) -> DataFrame:
+    """id, tx, n (shingles), node, bands, s0 and s1 of every row of ``own`` (id, tx, t)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
             for lo, hi in chunks(offsets):
-                node, keys, bits = _signatures(*shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle))
+                hashes, first = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
+                node, keys, bits = _signatures(hashes, first, sign)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), _signed(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _signed(node), bands, _signed(bits[:, 0]), _signed(bits[:, 1])], names=["id", "tx", "node", "bands", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), _signed(node), bands, _signed(bits[:, 0]), _signed(bits[:, 1])], names=["id", "tx", "n", "node", "bands", "s0", "s1"])
 
-    return own.select("id", "tx", "t").mapInArrow(take, "id bigint, tx bigint, node bigint, bands array<bigint>, s0 bigint, s1 bigint")
+    return own.select("id", "tx", "t").mapInArrow(take, "id bigint, tx bigint, n bigint, node bigint, bands array<bigint>, s0 bigint, s1 bigint")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -151,12 +159,12 @@ def _joins(node: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.
     return out
 
 
-def _joined(rows: DataFrame, similar: float) -> DataFrame:
-    """a, b: pairs that join components, from rows of key, lo, hi, block, node, label and set (32-bit hashes)."""
+def _joined(rows: DataFrame, similar: float, kind: type) -> DataFrame:
+    """a, b: pairs that join components, from rows of key, lo, hi, block, node, label and set (hashes of ``kind``)."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         lo, hi = held[0][1], held[0][2]
-        sets = [np.frombuffer(x[6], np.uint32) for x in held]
+        sets = [np.frombuffer(x[6], kind) for x in held]
         node, label, side = (np.array([x[k] for x in held], np.int64) for k in (4, 5, 3))
         found = _joins(node, label, side, sets, similar, lo != hi)
         return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
@@ -175,13 +183,25 @@ def _joined(rows: DataFrame, similar: float) -> DataFrame:
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(walk, "a bigint, b bigint")
 
 
-def near_sets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similar: float = 0.8) -> DataFrame:
-    """id (the largest long for null), tx (hash of the text), root (which tells components apart) and component_id
-    (the least id that links reach, its own included) of every row. Texts without words are one node; other columns are not read."""
+def _crosswise(told: DataFrame, sets: DataFrame, similar: float, kind: type) -> DataFrame:
+    """a, b: pairs that join components, from rows of key, node and label and the nodes' sets."""
+    told = told.join(sets, "node")
+    blocks = told.groupBy("key").agg(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = told.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "set")
+    return _joined(dealt, similar, kind).distinct()
+
+
+def near_sets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similar: float = 0.8, sign: Sign = minima, empty_linked: bool = True) -> DataFrame:
+    """id (the largest long for null), tx (hash of the text), n (shingles), root (which tells components apart) and component_id
+    (the least id that links reach, its own included) of every row. Texts without words are one node or, if not
+    ``empty_linked``, linked with nothing: their root is null. ``sign`` makes the values whose bands bring nodes together. Other columns are not read."""
     t = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(t).alias("tx"), t.alias("t"))
-    prints = durable(_prints(own, shingle))
-    nodes = durable(prints.groupBy("node").agg(F.min(F.struct("id", "tx")).alias("rep"), F.first("bands").alias("bands"), F.first("s0").alias("s0"), F.first("s1").alias("s1")))
+    prints = durable(_prints(own, shingle, sign))
+    told = prints if empty_linked else prints.where("n > 0")
+    nodes = durable(told.groupBy("node").agg(F.min(F.struct("id", "tx")).alias("rep"), F.first("bands").alias("bands"), F.first("s0").alias("s0"), F.first("s1").alias("s1")))
     met = nodes.select(F.explode("bands").alias("key"), "node", "s0", "s1")
     tops = met.groupBy("key").agg(F.min(F.struct("node", "s0", "s1")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = durable(met.join(tops, "key"))  # only keys at which nodes meet
@@ -194,17 +214,18 @@ def near_sets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shing
     told = met.drop("top").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     told = durable(told.join(mixed, "key"))
-    short = sets.select("node", _short(F.col("hashes")).alias("set"))
-    told = told.join(short, "node")
-    blocks = told.groupBy("key").agg(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = told.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cross = _joined(dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "set"), similar).distinct()
-    more = _verified(cross, sets, similar)
+    cross = durable(_crosswise(told, sets.select("node", _short(F.col("hashes")).alias("set")), similar, np.uint32))
+    more = durable(_verified(cross, sets, similar))
+    if more.count() < cross.count():  # a 32-bit pair that isn't one may have kept true ones of its components unsaid
+        more = durable(_crosswise(told, sets.select("node", F.col("hashes").alias("set")), similar, np.uint64))
     labels = connected(links.unionByName(more))
     rooted = nodes.join(labels, "node", "left").select("node", F.col("rep.id").alias("least"), F.coalesce("label", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("id", "tx", "node").join(rooted.join(least, "root").select("node", "root", "component_id"), "node").drop("node")
+    known = rooted.join(least, "root").select("node", "root", "component_id")
+    if empty_linked:
+        return prints.select("id", "tx", "n", "node").join(known, "node").drop("node")
+    found = prints.select("id", "tx", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, "node", "left")
+    return found.select("id", "tx", "n", "root", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_firsts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similar: float = 0.8) -> DataFrame:
