@@ -1,8 +1,7 @@
 """Ledger and leak audits.
 
-Where secrets are looked for in texts of their session, an index of character grams brings them together:
-a text's grams meet the first gram of each secret, so that no session pairs all its secrets with all its
-texts. What is brought together is then compared exactly.
+Where secrets are looked for in texts of their session, both come together by session, and a text is read once beside an
+automaton of all the session's secrets (``search``). V1, V3, V6 and R7 are what it finds.
 """
 
 from __future__ import annotations
@@ -10,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import search
 from .vault import TOKEN
 
-#: Characters of a secret's first gram; shorter secrets are looked up by all of theirs.
-GRAM = 6
-
 
 def masked(kind: Column, value: Column) -> Column:
     """L1: a preview that shows at most the first two and the last character."""
@@ -52,34 +49,11 @@ def field_view(units: DataFrame, text: str = "text") -> DataFrame:
     return units.where(shown & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).withColumn("verdict", verdict)
 
 
-def bare(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"[\s()-]", ""))
-
-
-def brought_together(secrets: DataFrame, wire: DataFrame, session: str | None = "session_id", text: str = "text", value: str = "value", forms: tuple[Column, ...] = ()) -> DataFrame:
-    """Rows of ``wire`` beside rows of ``secrets`` (its columns but the session) of the same session whose first gram they hold, both without
-    separators and case. Repeated rows stay repeated. ``forms`` are
-    other ways to write the value. With ``session`` None any secret meets any text."""
-    heads = F.array_distinct(F.array(*(F.left(bare(c), F.lit(GRAM)) for c in (F.col(value), *forms))))
-    index = secrets.select(*([F.col(session).alias("__s")] if session else []), F.explode(heads).alias("__gram"), F.struct(*(c for c in secrets.columns if c != session)).alias("__secret")).where("__gram <> ''")
-    sizes = index.select(*([F.col("__s").alias("__z")] if session else []), F.length("__gram").alias("__n")).distinct()  # six rows a session at most
-    texts = wire.withColumn("__bare", bare(F.col(text)))
-    texts = texts.join(sizes, F.col(session).eqNullSafe(F.col("__z"))).drop("__z") if session else texts.join(F.broadcast(sizes))  # at most six rows
-    grams = F.lit(None).cast("array<string>")
-    for n in range(1, GRAM + 1):  # overlapping grams by a look ahead: one linear pass
-        grams = F.when(F.col("__n") == n, F.regexp_extract_all("__bare", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(grams)
-    rows = texts.select(*wire.columns, F.explode(F.array_distinct(grams)).alias("__own"))
-    on = F.col("__own") == F.col("__gram")
-    return rows.join(index, on & F.col(session).eqNullSafe(F.col("__s")) if session else on).select(*wire.columns, "__secret.*")
-
-
-def leaks(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+def leaks(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text", sizes: DataFrame | None = None) -> DataFrame:
     """V1: vault values that still stand in their session's outgoing text, literally or, from six
-    characters on, without separators and case. The result carries the token only."""
-    joined = brought_together(vault.select(session, "token", "value"), wire.select(session, text), session, text)
-    literal = F.contains(F.col(text), F.col("value"))
-    loose = (F.length(bare(F.col("value"))) >= 6) & F.contains(bare(F.col(text)), bare(F.col("value")))
-    return joined.where(literal | loose).select(session, "token", F.when(literal, "literal").otherwise("normalized").alias("how"))
+    characters on, without separators and case. The result carries the token only, once for each row of ``wire`` that has it."""
+    found = search.found_in(vault.select(session, "token", "value"), wire, session, text, sizes=sizes).where("literal or loose")
+    return found.select(session, "secret.token", F.when(F.col("literal"), "literal").otherwise("normalized").alias("how"))
 
 
 # The patterns of the residue and echo audits, the most specific first.
@@ -101,15 +75,11 @@ def residue(clean: DataFrame, acknowledged: DataFrame | None = None, keys: tuple
     return found.join(known, on, "left_anti")
 
 
-def transcript(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+def transcript(vault: DataFrame, wire: DataFrame, session: str = "session_id", text: str = "text", sizes: DataFrame | None = None) -> DataFrame:
     """V3: by session how many of its vault's values (three characters or more) were checked and how many stand in its
     texts as they are, with JSON escapes, or without separators; a session with none checked is not clean but unchecked."""
     checked = vault.where(F.length("value") >= 3).select(session, "token", "value")
-    quoted = F.expr("substring(to_json(struct(value)), 11, length(to_json(struct(value))) - 12)")
-    joined = brought_together(checked, wire.select(session, text), session, text, forms=(quoted,))
-    how = F.when(F.contains(F.col(text), F.col("value")), "literal").when(F.contains(F.col(text), quoted), "escaped")
-    how = how.when((F.length(bare(F.col("value"))) >= 6) & F.contains(bare(F.col(text)), bare(F.col("value"))), "separators")
-    hits = joined.withColumn("how", how).where("how is not null").groupBy(session).agg(F.count_distinct("token").alias("leaked"))
+    hits = search.found_in(checked, wire, session, text, sizes=sizes).groupBy(session).agg(F.count_distinct("secret.token").alias("leaked"))
     counts = checked.groupBy(session).agg(F.count(F.lit(1)).alias("checked"))
     sessions = wire.select(session).distinct()
     c, h = counts.withColumnRenamed(session, "__c"), hits.withColumnRenamed(session, "__h")
@@ -134,10 +104,10 @@ def echoed(text: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(k)) for k, p in RESIDUE))
 
 
-def disguised_left(clean: DataFrame, planted: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:
+def disguised_left(clean: DataFrame, planted: DataFrame, session: str = "session_id", text: str = "text", sizes: DataFrame | None = None) -> DataFrame:
     """V6: planted disguised values (``what``, ``value``) that still stand literally in their session's sanitized text."""
-    joined = brought_together(planted.select(session, "what", "value"), clean.select(session, text), session, text)
-    return joined.where(F.contains(F.col(text), F.col("value"))).select(session, "what").distinct()
+    found = search.found_in(planted.select(session, "what", "value"), clean, session, text, sizes=sizes).where("literal")
+    return found.select(session, "secret.what").distinct()
 
 
 def invented_tokens(texts: DataFrame, vault: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:

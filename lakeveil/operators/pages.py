@@ -1,4 +1,4 @@
-"""Page structure: tokens of HTML, origins, questions, capture gate (P1 in part, P22, P24, P26)."""
+"""Pages: tokens of HTML, origins, questions, capture gate (P16 in part, P22, P24, P26)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .patterns import WIDE
 
 TOKENS = r"(?s)(<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]+>|[^<]+)"
-#: Tags without content, and inline formatting, neither of which nests.
+#: Tags that ``with_depth`` passes over: those without content, and those often left open. The tree proper is ``tree``'s.
 FLAT = "area base br col embed hr img input link meta source track wbr p li b i em strong".split()
 # How a question begins.
 QUESTIONS = ["what", "which", "who", "whose", "where", "when", "why", "how", "is ", "are ", "was ", "were ", "do ", "does ", "did ", "can ", "could ", "find ", "list ", "tell ", "summarise", "summarize", "explain"]
@@ -30,7 +30,7 @@ def capturable(pages: DataFrame, captured: DataFrame | None = None, least: int =
 
 
 def with_depth(found: DataFrame) -> DataFrame:
-    """Depth at each token; tags in FLAT add none."""
+    """Depth at each token; tags in FLAT add none. A page that ends at 0 closes what it opens."""
     from pyspark.sql import Window
 
     step = F.when(F.col("tag").isin(FLAT), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
@@ -45,6 +45,36 @@ def origin(url: Column) -> Column:
     return F.when((scheme == "") | (host == ""), "about:blank").otherwise(F.concat(scheme, F.lit("://"), host, shown))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/")
+    begin = F.array().cast("array<string>")
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(parts, begin, step)
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The absolute URL of a reference on a page: one with a scheme as it is, ``//host`` under the page's scheme, a path, query or
+    fragment under the page's origin. Blanks around it don't count, backslashes are slashes. Null where the page's own URL has no host and the reference needs it."""
+    ref = F.regexp_replace(F.trim(F.regexp_replace(reference, r"[\t\n\r]", "")), r"\\\\", "/")
+    own = F.when(origin(base) != "about:blank", base)
+    head = F.regexp_extract(own, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(own, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    path, query = F.regexp_extract(own, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(own, r"^[^?#]*(\?[^#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
+    ref_path, rest = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    under = (
+        F.when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(ref.startswith("/"), F.concat(head, without_dots(ref_path), rest))
+        .when(ref_path != "", F.concat(head, without_dots(F.concat(folder, ref_path)), rest))
+        .when(ref.startswith("?"), F.concat(head, path, ref))
+        .otherwise(F.concat(head, path, query, ref))
+    )
+    return F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref).otherwise(under)
+
+
 def is_question(goal: Column) -> Column:
     """P26."""
     g = F.regexp_replace(F.lower(goal), rf"^[\s{WIDE}]+|[\s{WIDE}]+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary
-from ..operators import audit, elements, fields, names, redaction, regions, runs, vault
+from ..operators import audit, elements, fields, names, redaction, regions, runs, tree, vault
 from ..sources.readers import conversation_units, document_units, spread, table
 from ..streaming import streams
 from . import score
@@ -88,7 +88,7 @@ def n9_name_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements.elements(spread(table(spark, sf_dir, "pages")))
+    return tree.elements(spread(table(spark, sf_dir, "pages")))
 
 
 def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,24 @@ def p2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p12_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes kept by page, whether the page was cut, and whether personal data stands beyond the caps."""
     kept = elements.budgeted(elements.described(_elements(spark, sf_dir)))
-    counts = kept.groupBy("page_id").agg(F.count_if("within").alias("nodes"), F.bool_or("truncated").alias("truncated"))
-    return counts.join(elements.beyond_cap(kept), "page_id")
+    counts = kept.groupBy("page_key").agg(F.count_if("within").alias("nodes"), F.bool_or("truncated").alias("truncated"))
+    return counts.join(elements.beyond_cap(kept), "page_key").select("page_id", "nodes", "truncated", "beyond_cap")
+
+
+def p3_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by tag, how many have text of their own, and the characters of it."""
+    rows = _elements(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("own_text") != "").alias("with_text"), F.sum(F.length("own_text")).alias("chars"))
+    return rows
+
+
+def p11_kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept nodes and the deepest of them, by page."""
+    rows = elements.described(_elements(spark, sf_dir)).where("keep")
+    return rows.groupBy("page_key", "page_id").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.length("value")).alias("longest_value")).drop("page_key")
 
 
 def p25_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements.outline(elements.described(_elements(spark, sf_dir)).where("keep and not hidden"))
+    return elements.outline(elements.described(_elements(spark, sf_dir)).where("keep")).drop("page_key")
 
 
 def p27_withheld_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +226,7 @@ def st4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    f4_field_kinds, f6_domains, f8_decisions, r1_redacted_fields, r7_swept, r9_payloads, n9_name_density, p2_roles, p12_budget, p25_outline, p27_withheld_line, l2_entries, v2_residue, v3_transcript, v5_echoes, v6_disguised,
+    f4_field_kinds, f6_domains, f8_decisions, r1_redacted_fields, r7_swept, r9_payloads, n9_name_density, p2_roles, p3_own_text, p11_kept_nodes, p12_budget, p25_outline, p27_withheld_line, l2_entries, v2_residue, v3_transcript, v5_echoes, v6_disguised,
     g7_top_labels, u1_origin_guard, u5_models, u6_threads, u8_newest, u10_titles, t2_rubric, t13_account, st3_windows, st4_sessions,
 ]
 
@@ -241,7 +253,7 @@ def oracle_sql(hit: str, luhn: str, verhoeff: str, shown: str, tagged: str, valu
             select case when len(ks) > 0 then ks[1] when regexp_matches(h, '{commercial}') then 'NON_PII' end as kind, case when len(ks) > 1 then 0.6 when len(ks) = 1 then 0.75 when regexp_matches(h, '{commercial}') then 0.8 end::double as confidence, count(*) as fields from k group by 1, 2""",
         "f6_domains": f"""with h as (select regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), ':[0-9]+$', ''), '\\.$', '') as h from pages), l as (select h, string_split(h, '.') as l, case when regexp_matches(h, '\\.({suffix})$') then 3 else 2 end as n from h)
             select case when len(l) <= 2 then h else array_to_string(l[-n:], '.') end as domain, count(*) as pages from l group by 1""",
-        "p2_roles": f"with {tagged} select tag, case tag {role} else 'text' end as role, count(*) as elements from k where kind = 'open' group by 1, 2",
+        "p2_roles": f"with {tagged} select tag, case when tag = 'a' and not regexp_matches(raw, '(?i)\\shref[\\s=>]') then 'text' else case tag {role} else 'other' end end as role, count(*) as elements from k where kind = 'open' group by 1, 2",
         "p27_withheld_line": f"with {hit}, c as (select session_id, kind, count(*) as n from f group by 1, 2) select session_id, string_agg(kind || ': ' || n, ', ' order by kind) as line from c group by 1",
         "l2_entries": f"with {hit} select session_id, kind, count(*) as withheld, max({shown}) as previews from f group by 1, 2",
         "v2_residue": f"select * from ({residue})",

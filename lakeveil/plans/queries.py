@@ -237,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
     questions = " or ".join(["g like '%?'", *(f"starts_with(g, '{q}')" for q in pages.QUESTIONS)])
     tokens = r"(?s)(<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]+>|[^<]+)"
     tagged = f"""t as (select page_id, unnest(l) as raw, generate_subscripts(l, 1) - 1 as seq from (select page_id, regexp_extract_all(html, '{tokens}', 1) as l from pages)),
-        k as (select page_id, seq, case when regexp_matches(raw, '(?is)^<(!|\\?|script\\b|style\\b)') then 'skip' when starts_with(raw, '</') then 'close' when regexp_matches(raw, '^<[A-Za-z]') then 'open' else 'text' end as kind,
+        k as (select page_id, seq, raw, case when regexp_matches(raw, '(?is)^<(!|\\?|script\\b|style\\b)') then 'skip' when starts_with(raw, '</') then 'close' when regexp_matches(raw, '^<[A-Za-z]') then 'open' else 'text' end as kind,
               lower(regexp_extract(raw, '^</?\\s*([A-Za-z][A-Za-z0-9-]*)', 1)) as tag from t)"""
     flat = ", ".join(f"'{t}'" for t in pages.FLAT)
     tells = "|".join(textstats.TELLS).replace("'", "''")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeveil.operators import actions, elements, fields, names, redaction, regions, runs, vault
+from lakeveil.operators import actions, elements, fields, names, redaction, regions, runs, tree, vault
 from lakeveil.plans import score
 from lakeveil.streaming import streams
 
@@ -72,12 +72,12 @@ PAGE = """<html><body><form action="https://other.test/x"><label for="p">PAN num
 
 
 def test_elements(spark):
-    found = elements.elements(spark.createDataFrame([(1, "https://site.test/a", PAGE), (2, "u", None)], "page_id long, url string, html string"))
+    found = tree.elements(spark.createDataFrame([(1, "https://site.test/a", PAGE), (2, "u", None)], "page_id long, url string, html string"))
     rows = {r["node_seq"]: r for r in elements.described(found).collect()}
     by = lambda tag: [r for _, r in sorted(rows.items()) if r["tag"] == tag]
     inputs = by("input")
     assert [(r["role"], r["label"], r["value"]) for r in inputs] == [("textbox", "PAN number", "ABCPE1234F"), ("textbox", "Mail", "a@b.co"), ("radio", None, None), ("password", None, None)]
-    assert inputs[0]["required"] and inputs[2]["checked"] and not inputs[1]["checked"] and by("form")[0]["cross_origin_form"]
+    assert inputs[0]["required"] and inputs[2]["checked"] and not inputs[1]["checked"] and inputs[0]["cross_origin_form"]
     assert rows[inputs[1]["parent_seq"]]["tag"] == "label" and rows[by("option")[0]["parent_seq"]]["tag"] == "select" and rows[by("body")[0]["parent_seq"]]["tag"] == "html"
     assert [r["needs_vision"] for r in by("img")] == [False, True] and [r["hidden"] for r in by("div")] == [True] and by("h1")[0]["label"] == "Title"
     assert [[(o["value"], o["label"]) for o in r["options"]] for r in elements.options(found).collect()] == [[("1", "One"), ("Two", "Two")]]
