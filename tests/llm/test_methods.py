@@ -33,22 +33,53 @@ def test_other_scripts_and_unwanted_languages_go(spark):
     assert {r["doc_id"] % 2 for r in language.keep_identified(docs, profiles, languages=("fr",)).collect()} == {0}
 
 
-def test_rates_match_a_dense_solution(spark):
+def nonnegative_least_squares(a, b):
+    """Lawson and Hanson's active sets: a solver that shares nothing with the operator's."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    slope = a.T @ b
+    while (~free).any() and slope[~free].max() > 1e-10:
+        free[np.where(~free, slope, -np.inf).argmax()] = True
+        while True:
+            s = np.zeros(len(x))
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if s[free].min() > 0:
+                break
+            out = free & (s <= 0)
+            x = x + (x[out] / (x[out] - s[out])).min() * (s - x)
+            free &= x > 1e-12
+        x, slope = s, a.T @ (b - a @ s)
+    return x
+
+
+@pytest.mark.parametrize("reachable", [True, False])
+def test_totals_are_those_of_an_independent_solver(spark, reachable):
     r = np.random.default_rng(4)
-    p = r.dirichlet([2.0, 1.0, 0.5], 60)
-    tokens = r.integers(1, 50, 60)
-    goal = np.array([0.5, 0.3, 0.2])
+    p = r.dirichlet([3.0, 1.0, 1.0], 300)
+    p = p if reachable else 0.6 * p + 0.4 * np.array([0.4, 0.3, 0.3])
+    tokens = r.integers(1, 300, 300)
+    goal = np.array([0.5, 0.3, 0.2]) if reachable else np.array([0.9, 0.05, 0.05])
     members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "tokens long, posterior array<double>")
-    steps, reached, near = mixing.fit_rates(members, goal.tolist())
+    steps, found = mixing.fit_rates(members, goal.tolist())
     got = np.array([x["rate"] for x in members.select(mixing.rate(steps).alias("rate")).collect()])
     share = tokens[:, None] * p / tokens.sum()
-    metric = np.linalg.inv(p.T @ (share) + np.eye(3) * 1e-6)
-    dense = ahead = np.ones(60)
-    for k in range(len(steps)):
-        last, dense = dense, np.maximum(0, ahead - p @ (metric @ (ahead @ share - goal)))
-        ahead = dense + mixing.momentum(k + 1) * (dense - last)
-    assert near and np.allclose(got, dense, atol=1e-6) and np.allclose(got @ share, reached, atol=1e-9) and np.abs(reached - goal).max() <= 1e-3
-    assert not mixing.fit_rates(members, goal.tolist(), most_steps=0)[2]
+    root = np.linalg.cholesky(np.linalg.inv(p.T @ share + np.eye(3) * 1e-6)).T
+    best = root @ (share.T @ nonnegative_least_squares(root @ share.T, root @ goal) - goal)
+    assert got.min() >= 0 and np.allclose(got @ share, found.reached, atol=1e-9)
+    assert (np.abs(best).max() < 1e-6) == reachable and found.ended == ("on target" if reachable else "out of reach")
+    assert found.least_off <= np.linalg.norm(best) + 1e-6 and found.off == pytest.approx(np.linalg.norm(root @ (found.reached - goal)))
+    if not reachable:
+        assert 0.9 * np.linalg.norm(best) <= found.least_off and found.off <= 1.4 * np.linalg.norm(best)
+    assert mixing.fit_rates(members, goal.tolist(), most_steps=0)[1].ended == "unsettled"
+
+
+def test_calibration_finds_the_odds():
+    r = np.random.default_rng(2)
+    score = r.normal(size=(4000, 1)) * 3
+    x = np.c_[score, -score, np.ones((4000, 1))]
+    p = 1 / (1 + np.exp(-(2 * score[:, 0] - 1)))
+    w = mixing.calibrated(x, (r.random(4000) > p).astype(int), [np.log(0.5)] * 2)
+    z = np.c_[x, np.ones(4000)] @ w.T
+    assert np.abs(1 / (1 + np.exp(z[:, 1] - z[:, 0])) - p).max() < 0.06
 
 
 def test_totals_are_told(spark):
