@@ -54,25 +54,23 @@ def without_dots(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
 
 
-def resolve(base: Column, reference: Column) -> Column:
-    """The absolute URL of a reference on a page: one with a scheme as it is, ``//host`` under the page's scheme, a path, query or
-    fragment under the page's origin. Blanks around it don't count, backslashes are slashes. Null where the page's own URL has no host and the reference needs it."""
-    ref = F.regexp_replace(F.trim(F.regexp_replace(reference, r"[\t\n\r]", "")), r"\\\\", "/")
-    own = F.when(origin(base) != "about:blank", base)
-    head = F.regexp_extract(own, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(own, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    path, query = F.regexp_extract(own, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(own, r"^[^?#]*(\?[^#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    ref_path, rest = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    under = (
-        F.when(ref.startswith("//"), F.concat(scheme, ref))
-        .when(ref.startswith("/"), F.concat(head, without_dots(ref_path), rest))
-        .when(ref_path != "", F.concat(head, without_dots(F.concat(folder, ref_path)), rest))
-        .when(ref.startswith("?"), F.concat(head, path, ref))
-        .otherwise(F.concat(head, path, query, ref))
-    )
-    return F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref).otherwise(under)
+#: scheme with its colon, host with port, path, query and fragment of a URL.
+URL = "^([A-Za-z][A-Za-z0-9+.-]*:)//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)([?][^#]*)?(#.*)?$"
+
+
+def resolved(rows: DataFrame, url: str, reference: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the absolute URL of a reference on a page: one with a scheme as it is, ``//host`` under the page's scheme, a path without
+    its dots, a query or a fragment under the page's origin. Blanks around it don't count, backslashes are slashes. Null where a URL without host would be needed."""
+    part = lambda k: F.regexp_extract(url, URL, k)
+    ref = F.regexp_replace(F.trim(F.regexp_replace(F.col(reference), r"[\t\n\r]", "")), r"\\\\", "/")
+    rows = rows.withColumn("__ref", ref).withColumn("__head", F.nullif(F.concat(part(1), F.lit("//"), part(2)), F.lit("//"))).withColumn("__path", F.coalesce(F.nullif(part(3), F.lit("")), F.lit("/")))
+    rows = rows.withColumn("__rest", F.regexp_extract("__ref", "[?#].*$", 0)).withColumn("__to", F.regexp_extract("__ref", "^[^?#]*", 0))
+    path = F.when(F.col("__to") == "", F.col("__path")).when(F.startswith("__to", F.lit("/")), F.col("__to")).otherwise(F.concat(F.regexp_replace("__path", "[^/]*$", ""), F.col("__to")))
+    rows = rows.withColumn("__full", path)
+    query = F.when((F.col("__to") == "") & ~F.startswith("__rest", F.lit("?")), part(4)).otherwise("")
+    under = F.when(F.startswith("__ref", F.lit("//")), F.concat(part(1), F.col("__ref"))).otherwise(F.concat("__head", without_dots(F.col("__full")), query, "__rest"))
+    out = F.when(F.col("__ref").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("__ref")).when(F.col("__head").isNotNull(), under)
+    return rows.withColumn(name, out).drop("__ref", "__head", "__path", "__rest", "__to", "__full")
 
 
 def is_question(goal: Column) -> Column:

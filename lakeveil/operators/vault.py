@@ -9,10 +9,11 @@ same tokens and none is lost. Token-like text in the input is escaped (``<PII\\_
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import durable
+
 TOKEN = "<PII_[A-Z_]+_[0-9]+>"
 KEY = "__key"
 
@@ -31,26 +32,45 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<PII(\\*)\\_", "<PII$1_")
 
 
+#: What a span may say beside its kind and place.
+EXTRA = ("source", "confidence", "verified", "org_contact")
+
+
+def valued(detected: DataFrame, text: str = "text", spans: str = "detections") -> Column:
+    """The spans with the values they cover."""
+    fields = [f.name for f in detected.schema[spans].dataType.elementType.fields if f.name in ("kind", "start", "end", *EXTRA)]
+    return F.transform(spans, lambda d: F.struct(*(d[c].alias(c) for c in fields), F.substring(F.col(text), d["start"] + 1, d["end"] - d["start"]).alias("value")))
+
+
 def occurrences(detected: DataFrame, session: str = "session_id", unit: str = "unit_seq", text: str = "text", spans: str = "detections") -> DataFrame:
-    """One row for each span of each distinct unit: key, session, unit, kind, start, end and the original value; ``extra``
-    columns of the spans stay. The result is kept in executors' storage, as the vault and the texts both need it."""
+    """One row for each span of each distinct unit: key, session, unit, field_rank, kind, start, end, the original value and what else the spans
+    say. The result is checkpointed, as the vault and the texts both need it."""
     rows = detected.where(F.size(spans) > 0)
     rank = F.col("field_rank") if "field_rank" in detected.columns else F.lit(0)
     # Not explode(): from it Spark infers a filter on the size of the array, and would detect twice.
-    rows = rows.select(row_key(detected, session, unit, text).alias(KEY), F.col(session), F.col(unit), rank.alias("field_rank"), F.col(text), F.explode_outer(spans).alias("d")).where("d is not null")
-    value = F.substring(F.col(text), F.col("d.start") + 1, F.col("d.end") - F.col("d.start"))
-    found = rows.select(KEY, session, unit, "field_rank", F.col("d.kind").alias("kind"), F.col("d.start").alias("start"), F.col("d.end").alias("end"), value.alias("value"))
-    return found.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select(row_key(detected, session, unit, text).alias(KEY), F.col(session), F.col(unit), rank.alias("field_rank"), F.explode_outer(valued(detected, text, spans)).alias("d")).where("d is not null")
+    return durable(rows.select(KEY, session, unit, "field_rank", "d.*"))
 
 
 def mint(found: DataFrame, session: str = "session_id", unit: str = "unit_seq") -> DataFrame:
-    """The vault (session, kind, n, token, value), pre-aggregated by value before any numbering."""
+    """The vault (session, kind, n, token, value), pre-aggregated by value before any numbering.
+
+    Numbers are dense by session and kind, and no task sorts all values of a session: values are cut by range in mint order, numbered
+    within their piece, and pieces of one session and kind, of which all but the first of each partition's are a partition at most, start
+    where those before them end."""
     rank = F.col("field_rank") if "field_rank" in found.columns else F.lit(0)
     place = F.struct(F.col(unit), rank.alias("r"), (-F.col("start")).alias("s"))
     values = found.groupBy(session, "value").agg(F.min(F.struct(place.alias("place"), F.col("kind"))).alias("first"))
-    numbered = values.select(session, "value", F.col("first.kind").alias("kind"), F.col("first.place").alias("place"))
-    n = F.row_number().over(Window.partitionBy(session, "kind").orderBy("place", "value"))
-    return numbered.withColumn("n", n).select(session, "kind", "n", F.concat(F.lit("<PII_"), "kind", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("token"), "value")
+    values = values.select(session, "value", F.col("first.kind").alias("kind"), F.col("first.place").alias("place"))
+    order = [session, "kind", "place", "value"]
+    ranged = durable(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).drop("place"))
+    ranged = ranged.withColumn("__part", F.shiftright("__at", 33))
+    sizes = ranged.groupBy(session, "kind", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(session, "kind").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(session).alias("__s"), F.col("kind").alias("__k"), F.col("__part").alias("__p"), (before - F.col("__first") + 1).alias("__shift"))
+    same = F.col(session).eqNullSafe(F.col("__s")) & (F.col("kind") == F.col("__k")) & (F.col("__part") == F.col("__p"))
+    numbered = ranged.join(sizes, same).withColumn("n", (F.col("__at") + F.col("__shift")).cast("int"))
+    return numbered.select(session, "kind", "n", F.concat(F.lit("<PII_"), "kind", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("token"), "value")
 
 
 def apply_tokens(units: DataFrame, found: DataFrame, vault: DataFrame, session: str = "session_id", unit: str = "unit_seq", text: str = "text") -> DataFrame:
@@ -82,8 +102,11 @@ def rehydrate(units: DataFrame, vault: DataFrame, session: str = "session_id", t
 
 
 def withheld_counts(found: DataFrame, session: str = "session_id") -> DataFrame:
-    """Occurrences by session and kind; the site's own contact addresses are counted apart where spans tell them."""
-    return found.groupBy(session, "kind").agg(F.count(F.lit(1)).alias("withheld"))
+    """Occurrences by session and kind; where spans tell them, the site's own contact addresses are counted apart."""
+    if "org_contact" not in found.columns:
+        return found.groupBy(session, "kind").agg(F.count(F.lit(1)).alias("withheld"))
+    own = F.coalesce("org_contact", F.lit(False))
+    return found.groupBy(session, "kind").agg(F.count_if(~own).alias("withheld"), F.count_if(own).alias("org_contacts"))
 
 
 def resolve_tokens(actions: DataFrame, vault: DataFrame, session: str = "session_id", text: str = "text") -> DataFrame:

@@ -15,6 +15,8 @@ from .queries import LEAST, sanitize
 
 #: Lists of names for tests and queries; a user brings longer ones (``names.gazetteer``).
 GIVEN = "ananya rajesh priya vikram amit sunita lakshmi arjun deepa harsh maria john anna peter".split()
+#: Ordinary words of addresses, offices and notices; to these come the words that the corpus itself has in lower case.
+ORDINARY = "billing address resident name full mobile registered enrolment sanctioned amount statement beneficiary profile update notes road street lane lake view park hill garden river riverside bridge tower house estate colony market station east west north south new old upper lower central centre center city town state national regional general deputy senior junior assistant manager director officer office department ministry bank branch limited company school college university hospital society trust please reach parcel desk closed open notice order total account payment contact support service request report number".split()
 FAMILY = "sharma verma gupta chatterjee krishnan shah patel reddy nair bajpai smith miller garcia dupont".split()
 
 
@@ -60,12 +62,12 @@ def _written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r7_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks left in texts that repeat values in other forms, with and without the sweep."""
+    """Leaks left in texts that repeat values in other forms, with and without the sweep: rows of the wire by each value they still hold."""
     units = _written_twice(spark, sf_dir)
     clean, minted, _ = sanitize(units)
     minted = minted.where("length(value) >= 6")
-    count = lambda wire, how: audit.leaks(minted, wire).agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(how).alias("wire"), "leaks")
-    return count(redaction.sweep(clean, minted), "swept").unionByName(count(clean, "unswept").select("wire", F.least("leaks", F.lit(1)).alias("leaks")))
+    count = lambda wire, how: audit.leaks(minted, wire, sizes=units).agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(how).alias("wire"), "leaks")
+    return count(redaction.sweep(clean, minted, sizes=units), "swept").unionByName(count(clean, "unswept"))
 
 
 def r9_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def r9_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda listed: spark.createDataFrame([(w,) for w in listed], "word string")
-    return names.gazetteer(words(GIVEN), words(FAMILY), names.learned_words(spread(table(spark, sf_dir, "documents"))))
+    return names.gazetteer(words(GIVEN), words(FAMILY), names.learned_words(spread(table(spark, sf_dir, "documents"))).unionByName(words(ORDINARY)))
 
 
 def n9_name_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ def v2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v3_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean, minted, _ = sanitize(_turns(spark, sf_dir))
-    return audit.transcript(minted, clean)
+    return audit.transcript(minted, clean, sizes=_turns(spark, sf_dir))
 
 
 def v5_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +153,7 @@ def v6_disguised(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = conversation_units(spread(table(spark, sf_dir, "conversations"))).select("session_id", "unit_seq", F.concat_ws(" ", "text", *(F.lit(v) for v in forms.values())).alias("text"))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.lit(v).alias("value")) for k, v in forms.items())))
     planted = units.select("session_id").distinct().select("session_id", rows.alias("f")).select("session_id", "f.*")
-    count = lambda wire, name: audit.disguised_left(wire, planted).agg(F.count(F.lit(1)).alias("left")).select(F.lit(name).alias("wire"), "left")
+    count = lambda wire, name: audit.disguised_left(wire, planted, sizes=units).agg(F.count(F.lit(1)).alias("left")).select(F.lit(name).alias("wire"), "left")
     return count(sanitize(units)[0], "sanitized").unionByName(count(units, "raw"))
 
 
@@ -259,8 +261,12 @@ def oracle_sql(hit: str, luhn: str, verhoeff: str, shown: str, tagged: str, valu
         "v2_residue": f"select * from ({residue})",
         "v3_transcript": f"with {hit}, s as (select distinct session_id from u), c as (select session_id, count(distinct value) as n from f group by 1) select session_id, coalesce(n, 0)::bigint as checked, 0::bigint as leaked, case when n is null then 'unchecked' else 'clean' end as verdict from s left join c using (session_id)",
         "v5_echoes": f"with {hit} select case {echoes} end as kind, count(*) as turns from u group by 1",
-        "v6_disguised": "select 'sanitized' as wire, 0::bigint as left union all select 'raw', count(distinct conv_id) * 3 from conversations",
-        "r7_swept": "select 'swept' as wire, 0::bigint as leaks union all select 'unswept', 1::bigint",
+        "v6_disguised": """with f(what, value) as (values ('zero width', 'AB' || chr(8203) || 'CPE1234F'), ('look-alike', chr(1040) || 'BCPE1234F'), ('wide', 'ABCPE' || chr(65297) || chr(65298) || chr(65299) || chr(65300) || 'F')), w as (select conv_id, concat_ws(' ', text, (select string_agg(value, ' ') from f)) as text from conversations)
+            select 'sanitized' as wire, 0::bigint as left union all select 'raw', count(*) from (select distinct conv_id, what from w, f where contains(w.text, f.value))""",
+        # The repeated form has a hyphen after each character, and the mail's dots stand among them: loose forms leave blanks, hyphens and parentheses out of account.
+        "r7_swept": f"""with {hit}, v as (select distinct session_id, value from f where length(value) >= 6), w as (select u.session_id, 'seen ' || regexp_replace(lower(b.value), '([^ ])', '\\1-', 'g') || ' again' as text from u join b on u.session_id % {n} = b.k),
+            l as (select count(*) as n from v join w using (session_id) where contains(regexp_replace(lower(w.text), '[ ()-]', '', 'g'), regexp_replace(lower(v.value), '[ ()-]', '', 'g')))
+            select 'swept' as wire, 0::bigint as leaks union all select 'unswept', n from l""",
         "g7_top_labels": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings) select vec_id, (list_position(e, list_max(e)) - 1)::int as top, round(1 / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 6) as p from e",
         "u1_origin_guard": f"with {visits}, w as (select *, first_value(origin ignore nulls) over (partition by run_id order by ts, event_id rows between unbounded preceding and current row) as pinned from v) select run_id, count(*) as turns, count(*) filter (origin is distinct from pinned) as left, max(pinned) as pinned from w group by 1",
         "u5_models": "select event_type as model, count(*) as runs, round(avg((value > 10)::int), 6) as verified, round(median(user_id), 6) as turns, round(median(value), 6) as task_ms, round(median(value * 2), 6) as network_ms, round(median(length(props)), 6) as heap_mb from events group by 1",
