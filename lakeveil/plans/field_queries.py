@@ -54,20 +54,15 @@ def r1_redacted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("s.kind", "s.source", "s.verified").agg(F.count(F.lit(1)).alias("spans"))
 
 
-def _written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns, and after each a turn with the injected value spelt out, a hyphen after each character."""
+def r7_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks left where sanitized turns leave together with texts that spell the injected value out, a hyphen after each character, and that no rule
+    looked at: rows of the wire by each value they hold, with and without the sweep."""
     turns = _turns(spark, sf_dir).select("session_id", "unit_seq", "text")
     again = turns.select("session_id", (F.col("unit_seq") + 1000).alias("unit_seq"), F.concat(F.lit("seen "), F.regexp_replace(F.lower(block(F.col("session_id"), 1)), "([^ ])", "$1-"), F.lit(" again")).alias("text"))
-    return turns.unionByName(again)
-
-
-def r7_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks left in texts that repeat values in other forms, with and without the sweep: rows of the wire by each value they still hold."""
-    units = _written_twice(spark, sf_dir)
-    clean, minted, _ = sanitize(units)
-    minted = minted.where("length(value) >= 6")
-    count = lambda wire, how: audit.leaks(minted, wire, sizes=units).agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(how).alias("wire"), "leaks")
-    return count(redaction.sweep(clean, minted, sizes=units), "swept").unionByName(count(clean, "unswept"))
+    clean, minted, _ = sanitize(turns)
+    minted, wire, sizes = minted.where("length(value) >= 6"), clean.unionByName(again), turns.unionByName(again)
+    count = lambda rows, how: audit.leaks(minted, rows, sizes=sizes).agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(how).alias("wire"), "leaks")
+    return count(redaction.sweep(wire, minted, sizes=sizes), "swept").unionByName(count(wire, "unswept"))
 
 
 def r9_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +258,7 @@ def oracle_sql(hit: str, luhn: str, verhoeff: str, shown: str, tagged: str, valu
         "v5_echoes": f"with {hit} select case {echoes} end as kind, count(*) as turns from u group by 1",
         "v6_disguised": """with f(what, value) as (values ('zero width', 'AB' || chr(8203) || 'CPE1234F'), ('look-alike', chr(1040) || 'BCPE1234F'), ('wide', 'ABCPE' || chr(65297) || chr(65298) || chr(65299) || chr(65300) || 'F')), w as (select conv_id, concat_ws(' ', text, (select string_agg(value, ' ') from f)) as text from conversations)
             select 'sanitized' as wire, 0::bigint as left union all select 'raw', count(*) from (select distinct conv_id, what from w, f where contains(w.text, f.value))""",
-        # The repeated form has a hyphen after each character, and the mail's dots stand among them: loose forms leave blanks, hyphens and parentheses out of account.
+        # Loose forms leave blanks, hyphens and parentheses out of account.
         "r7_swept": f"""with {hit}, v as (select distinct session_id, value from f where length(value) >= 6), w as (select u.session_id, 'seen ' || regexp_replace(lower(b.value), '([^ ])', '\\1-', 'g') || ' again' as text from u join b on u.session_id % {n} = b.k),
             l as (select count(*) as n from v join w using (session_id) where contains(regexp_replace(lower(w.text), '[ ()-]', '', 'g'), regexp_replace(lower(v.value), '[ ()-]', '', 'g')))
             select 'swept' as wire, 0::bigint as leaks union all select 'unswept', n from l""",
