@@ -62,7 +62,7 @@ def resolved(rows: DataFrame, url: str, reference: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the absolute URL of a reference on a page: one with a scheme as it is, ``//host`` under the page's scheme, a path without
     its dots, a query or a fragment under the page's origin. Blanks around it don't count, backslashes are slashes. Null where a URL without host would be needed."""
     part = lambda k: F.regexp_extract(url, URL, k)
-    ref = F.regexp_replace(F.trim(F.regexp_replace(F.col(reference), r"[\t\n\r]", "")), r"\\\\", "/")
+    ref = F.regexp_replace(F.trim(F.regexp_replace(F.col(reference), r"[\t\n\r]", "")), r"\\", "/")
     rows = rows.withColumn("__ref", ref).withColumn("__head", F.nullif(F.concat(part(1), F.lit("//"), part(2)), F.lit("//"))).withColumn("__path", F.coalesce(F.nullif(part(3), F.lit("")), F.lit("/")))
     rows = rows.withColumn("__rest", F.regexp_extract("__ref", "[?#].*$", 0)).withColumn("__to", F.regexp_extract("__ref", "^[^?#]*", 0))
     path = F.when(F.col("__to") == "", F.col("__path")).when(F.startswith("__to", F.lit("/")), F.col("__to")).otherwise(F.concat(F.regexp_replace("__path", "[^/]*$", ""), F.col("__to")))

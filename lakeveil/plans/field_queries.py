@@ -235,7 +235,7 @@ def _quote(text: str) -> str:
 def oracle_sql(hit: str, luhn: str, verhoeff: str, shown: str, tagged: str, values: str, n: int) -> dict[str, str]:
     """SQL by query; ``hit`` are the common tables of injected turns (f: what is withheld, u: all turns)."""
     kinds = ", ".join(f"case when regexp_matches(h, '{_quote(fields.keyword_pattern(w))}') then '{k}' end" for k, w in vocabulary.KEYWORDS.items())
-    commercial = _quote("|".join(vocabulary.COMMERCIAL.split(", ")))
+    commercial = _quote("|".join(vocabulary.COMMERCIAL))
     suffix = "|".join(s.replace(".", r"\.") for s in vocabulary.SUFFIXES)
     role = " ".join(f"when '{t}' then '{r}'" for t, r in elements.ROLES.items())
     residue = " union all ".join(f"select '{k}' as kind, count(*) as documents from documents where regexp_matches(text, '{_quote(p)}') having count(*) > 0" for k, p in audit.RESIDUE)

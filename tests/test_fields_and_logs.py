@@ -91,10 +91,10 @@ def test_action_verdicts(spark):
     nodes = spark.createDataFrame([(1, "el_1", 1, "textbox", "PAN", "", True, True, "PAN", False, []), (1, "el_2", 2, "button", "Submit", None, True, True, None, False, []), (1, "el_3", 3, "select", "State", "", True, True, None, False, [("KA", "Karnataka")]), (1, "el_4", 4, "textbox", "Name", "<PII_NAME_1>", True, True, "NAME", True, []), (1, "el_5", 5, "textbox", "Off", "", False, True, None, False, []), (1, "el_6", 6, "radio", "Yes", None, True, True, None, False, [])], node)
     tokens = spark.createDataFrame([(1, "<PII_PAN_1>"), (1, "<PII_NAME_1>")], "page_id long, token string")
     cases = [
-        ("fly", None, None, None, None, "unknown action kind"), ("type", "el_1", "ABCPE1234F", None, None, "raw PAN"), ("wait", None, None, None, None, None), ("ask_user", None, None, " ", None, "no question"), ("answer", None, None, "x", None, None),
-        ("scroll", None, None, None, 1e6, "implausible"), ("click", None, None, None, None, "requires a target"), ("click", "[el_9]", None, None, None, "unknown element"), ("click", "el_5", None, None, None, "not visible"), ("select", "el_6", "x", None, None, None),
-        ("click", "el_3", None, None, None, "dropdown"), ("type", "el_3", "karnataka", None, None, None), ("type", "el_2", "x", None, None, "not a text field"), ("type", "el_1", "", None, None, "requires a value"), ("type", "el_1", "<PII_PAN_1>", None, None, None),
-        ("type", "el_1", "<PII_PAN_7>", None, None, "no value like"), ("type", "el_4", "<PII_NAME_1>", None, None, "another site"), ("type", "el_1", "<PII_NAME_1>", None, None, "refusing to place"), ("type", "el_4", "x", None, None, "own value"), ("click", "(el_2)", None, None, None, None),
+        ("fly", None, None, None, None, "kind-unknown:fly"), ("type", "el_1", "ABCPE1234F", None, None, "raw-value:PAN"), ("wait", None, None, None, None, None), ("ask_user", None, None, " ", None, "question-empty"), ("answer", None, None, "x", None, None),
+        ("scroll", None, None, None, 1e6, "scroll-out"), ("click", None, None, None, None, "target-missing"), ("click", "[el_9]", None, None, None, "target-unknown"), ("click", "el_5", None, None, None, "target-hidden"), ("select", "el_6", "x", None, None, None),
+        ("click", "el_3", None, None, None, "wants-select"), ("type", "el_3", "karnataka", None, None, None), ("type", "el_2", "x", None, None, "takes-no-text"), ("type", "el_1", "", None, None, "value-empty"), ("type", "el_1", "<PII_PAN_1>", None, None, None),
+        ("type", "el_1", "<PII_PAN_7>", None, None, "token-unknown"), ("type", "el_4", "<PII_NAME_1>", None, None, "token-leaves-site"), ("type", "el_1", "<PII_NAME_1>", None, None, "token-kind:NAME:in:PAN"), ("type", "el_4", "x", None, None, "holds-withheld-value"), ("click", "(el_2)", None, None, None, None),
     ]
     rows = spark.createDataFrame([(k, 0, 0, 1, *c[:5], True) for k, c in enumerate(cases)], "run_id long, turn int, idx int, page_id long, kind string, target string, value string, text string, scroll_delta double, executed boolean")
     got = {r["run_id"]: r for r in actions.validated(rows, nodes, tokens).collect()}
