@@ -50,13 +50,17 @@ def count_candidates(units: DataFrame) -> DataFrame:
 
 
 def d2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the five kinds that this query's SQL counts; ``d2_all_candidates`` has those of all rules."""
-    return d2_all_candidates(spark, sf_dir).where(F.col("kind").isin("PAN", "GSTIN", "IFSC", "PHONE", "AADHAAR"))
+    """Candidates of all eight kinds, and how many of them their check verifies."""
+    return count_candidates(_documents(spark, sf_dir))
 
 
 def d2_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of all eight kinds. It has no SQL; a test holds it against brute force."""
-    return count_candidates(_documents(spark, sf_dir))
+    """The same by rule and by how many candidates a document has: one, two to nine, or more."""
+    units = _documents(spark, sf_dir)
+    folded = units.select("session_id", F.explode(patterns.regions(patterns.scannable(F.col("text")))).alias("text")).where(F.col("text").rlike(patterns.PROMISING))
+    sizes = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.size(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("n")) for r in patterns.RULES))
+    counts = folded.select("session_id", F.inline(sizes)).groupBy("session_id", "kind").agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.groupBy("kind", F.when(F.col("n") == 1, "one").when(F.col("n") < 10, "two to nine").otherwise("more").alias("candidates")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 def d12_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +237,22 @@ def oracle_sql() -> dict[str, str]:
         "PHONE": (r"(?:\+?91[ -]?)?\b[6-9][0-9]{4}[ -]?[0-9]{5}\b", "regexp_full_match(regexp_replace(regexp_replace(raw, '[ ()-]', '', 'g'), '^(\\+91|91|0)', ''), '[6-9][0-9]{9}')"),
         "AADHAAR": (r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", _verhoeff_sql("regexp_replace(raw, '[ -]', '', 'g')")),
     }
+    luhn = "length(regexp_replace(raw, '[ -]', '', 'g')) between 13 and 19 and list_sum(list_transform(list_reverse(string_split(regexp_replace(raw, '[ -]', '', 'g'), '')), lambda x, i: case when i % 2 = 1 then x::int when x::int > 4 then x::int * 2 - 9 else x::int * 2 end)) % 10 = 0"
+    kinds |= {
+        "CARD": (r"\b(?:[0-9][ -]*?){13,19}\b", luhn),
+        "EMAIL": (r"\b[^\s@]+@[^\s@.]+\.[^\s@,;]{2,}\b", r"regexp_full_match(trim(raw), '[^\s@]+@[^\s@.]+\.[^\s@]{2,}')"),
+        "UPI": (r"\b[a-zA-Z0-9._-]{2,64}@[a-zA-Z][a-zA-Z0-9]{1,29}\b", "true"),
+    }
     d2 = " union all ".join(f"select '{k}' as kind, session_id, raw, {ok} as ok from (select session_id, unnest(regexp_extract_all(text, '{p}')) as raw from d)" for k, (p, ok) in kinds.items())
     questions = " or ".join(["g like '%?'", *(f"starts_with(g, '{q}')" for q in pages.QUESTIONS)])
     tokens = r"(?s)(<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]+>|[^<]+)"
     tagged = f"""t as (select page_id, unnest(l) as raw, generate_subscripts(l, 1) - 1 as seq from (select page_id, regexp_extract_all(html, '{tokens}', 1) as l from pages)),
         k as (select page_id, seq, raw, case when regexp_matches(raw, '(?is)^<(!|\\?|script\\b|style\\b)') then 'skip' when starts_with(raw, '</') then 'close' when regexp_matches(raw, '^<[A-Za-z]') then 'open' else 'text' end as kind,
               lower(regexp_extract(raw, '^</?\\s*([A-Za-z][A-Za-z0-9-]*)', 1)) as tag from t)"""
+    # Pages of the given tables have text only where the tag before it opens its element, but for tags without content.
+    owned = r"""o as (select *, max(case when kind in ('open', 'close') and tag not in ('br', 'meta', 'link', 'img', 'input', 'hr') then seq end) over (partition by page_id order by seq) as owner from k),
+        x as (select page_id, owner, string_agg(raw, '' order by seq) as raw from o where kind = 'text' group by 1, 2),
+        e as (select k.page_id, k.tag, coalesce(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x.raw, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '[\s' || chr(160) || ']+', ' ', 'g')), '') as own from k left join x on k.page_id = x.page_id and k.seq = x.owner where k.kind = 'open')"""
     flat = ", ".join(f"'{t}'" for t in pages.FLAT)
     tells = "|".join(textstats.TELLS).replace("'", "''")
     prose = r"""p as (select doc_id, regexp_replace(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')),
@@ -269,6 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "l3_totals": f"with {hit} select kind, count(*) as withheld, count(distinct session_id) as sessions from f group by rollup (kind)",
         "v1_leaks": f"with {hit}, v as (select distinct session_id, value from f) select 'sanitized' as channel, 0::bigint as leaks union all select 'raw', count(*) from v join u using (session_id) where contains(u.text, v.value)",
         "d2_candidates": f"with d as ({docs}) select kind, count(*) as candidates, count(*) filter (ok) as verified, count(distinct session_id) as documents from ({d2}) group by 1",
+        "d2_all_candidates": f"with d as ({docs}), c as (select kind, session_id, count(*) as n from ({d2}) group by 1, 2) select kind, case when n = 1 then 'one' when n < 10 then 'two to nine' else 'more' end as candidates, count(*) as documents from c group by 1, 2",
         "d4_aadhaar_rate": f"with r as (select lpad(cast((o_orderkey * 7919 + 234567) * 104729 % 1000000000000 as varchar), 12, '2') as d from orders) select substr(d, 1, 1) as first_digit, count(*) as numbers, count(*) filter (regexp_full_match(d, '[2-9][0-9]{{11}}') and {_verhoeff_sql('d')}) as valid from r group by 1",
         "d5_card_rate": f"with r as (select lpad(cast((o_orderkey * 104729 + 17) * 1299709 % 10000000000000000 as varchar), 16, '4') as d from orders) select substr(d, 1, 1) as first_digit, count(*) as numbers, count(*) filter ({_luhn_sql('d', 16)}) as valid from r group by 1",
         "r12_rehydrated": turns,
@@ -281,6 +296,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_page_tokens": f"with {tagged} select kind, tag, count(*) as tokens, count(distinct page_id) as pages from k group by 1, 2",
         "p1_page_depth": f"""with {tagged}, x as (select page_id, seq, sum(case when tag in ({flat}) then 0 when kind = 'open' then 1 when kind = 'close' then -1 else 0 end) over (partition by page_id order by seq)::bigint as depth from k)
             select page_id, max(depth) as most_depth, min(depth) as least_depth, arg_max(depth, seq) as end_depth, count(*) as tokens from x group by 1""",
+        "p3_own_text": f"with {tagged}, {owned} select tag, count(*) as elements, count(*) filter (own <> '') as with_text, sum(length(own))::bigint as chars from e group by 1",
+        "p11_kept_nodes": f"""with {tagged}, {owned} select page_id, count(*) as nodes, max(length(case when tag not in ('a', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') and own <> '' then left(own, 2000) end))::int as longest_value
+            from e where (tag in ('a', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') or own <> '') and tag not in ('head', 'title', 'meta', 'br', 'link') group by 1""",
         "p22_page_origin": r"""with u as (select lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)', 1) as p from pages)
             select case when s = '' or h = '' then 'about:blank' else s || '://' || h || (case when p = '' or (s = 'http' and p = '80') or (s = 'https' and p = '443') then '' else ':' || p end) end as origin, count(*) as pages from u group by 1""",
         "p24_capture_gate": f"with {tagged} select page_id, count(*) as nodes from k where kind = 'open' group by 1 having count(*) >= 100",

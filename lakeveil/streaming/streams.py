@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.patterns import with_detections
 from ..operators.vault import escape
@@ -27,31 +28,58 @@ def sanitize_stream(units: DataFrame, secret: str, text: str = "text", least: fl
     return found.withColumn(text, F.when(F.col(text).isNotNull(), done)).drop("detections")
 
 
-VAULT = "session_id bigint, kind string, n int, token string, value string"
-
-
-def _mint(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New values of a session get the next number of their kind; the state holds its values and counters."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    values, counts = (dict(zip(*state.get[:2])), dict(zip(*state.get[2:]))) if state.exists else ({}, {})
-    rows = []
-    for batch in batches:
-        for kind, value in batch.sort_values(["unit_seq", "start"], ascending=[True, False])[["kind", "value"]].itertuples(index=False):
-            if value not in values:
-                counts[kind] = counts.get(kind, 0) + 1
-                values[value] = f"<PII_{kind}_{counts[kind]}>"
-                rows.append((key[0], kind, counts[kind], values[value], value))
-    state.update((list(values), list(values.values()), list(counts), list(counts.values())))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(rows, columns=["session_id", "kind", "n", "token", "value"])
-
-
-def vault_stream(found: DataFrame) -> DataFrame:
-    """ST2: the vault of a stream of occurrences (session_id, unit_seq, start, kind, value); a session's state goes after a day without any."""
-    state = "values array<string>, tokens array<string>, kinds array<string>, counts array<int>"
-    return found.groupBy("session_id").applyInPandasWithState(_mint, VAULT, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+class SessionVault(StatefulProcessor):
+    """A session's tokens by value and its last number by kind, as maps in the state store: a batch reads and writes the entries of its own values
+    only. A timer, put off by each batch, clears a session that has been quiet for ``quiet_ms``; what it had is then minted anew."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tokens = handle.getMapState("tokens", "value string", "token string")
+        self.numbers = handle.getMapState("numbers", "kind string", "n int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now, pending = timerValues.getCurrentProcessingTimeInMs(), list(self.handle.listTimers())
+        if pending and max(pending) <= now:  # rows come before the timers that have run out
+            self.tokens.clear()
+            self.numbers.clear()
+        # The rows of a session in one trigger; the order of minting doesn't depend on how Arrow cuts them.
+        own = pd.concat(list(rows)).sort_values(["unit_seq", "start"], ascending=[True, False], kind="stable")
+        out = []
+        for kind, value in own[["kind", "value"]].drop_duplicates("value").itertuples(index=False):
+            if self.tokens.containsKey((value,)):
+                continue
+            n = (self.numbers.getValue((kind,))[0] if self.numbers.containsKey((kind,)) else 0) + 1
+            self.numbers.updateValue((kind,), (n,))
+            token = f"<PII_{kind}_{n}>"
+            self.tokens.updateValue((value,), (token,))
+            out.append((key[0], kind, n, token, value))
+        for at in pending:
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(now + self.quiet_ms)
+        yield pd.DataFrame(out, columns=["session_id", "kind", "n", "token", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tokens.clear()
+        self.numbers.clear()
+        yield pd.DataFrame([], columns=["session_id", "kind", "n", "token", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that map state and timers need; to be set as spark.sql.streaming.stateStore.providerClass.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def vault_stream(found: DataFrame, quiet: int = 24 * 3600) -> DataFrame:
+    """ST2: the vault of a stream of occurrences (session_id, unit_seq, start, kind, value): each value of a session once, when it is first seen. An ordered
+    replay gives the batch vault. A session's state goes ``quiet`` seconds after its last row. A row that comes late is minted when it comes."""
+    who = found.schema["session_id"].dataType.simpleString()
+    told = f"session_id {who}, kind string, n int, token string, value string"
+    return found.groupBy("session_id").transformWithStateInPandas(SessionVault(quiet * 1000), told, "Append", "ProcessingTime")
 
 
 def withheld_by_window(found: DataFrame, late: str = "10 minutes") -> DataFrame:
