@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lakeveil.operators import audit, elements, pages
+from lakeveil.operators import audit, elements, pages, tree
 from lakeveil.plans import score
 from lakeveil.sources import readers
 
@@ -49,5 +49,5 @@ def test_ledger_report_and_corpus(spark, tmp_path):
 
 def test_names_by_reference(spark):
     html = '<div id="a">First</div><div id="b">Second</div><div id="a">Later</div><input aria-labelledby="b  a gone" title="T"><input aria-labelledby="gone" title="T"><input aria-label="Own" aria-labelledby="a">'
-    rows = elements.described(elements.elements(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")))
+    rows = elements.described(tree.elements(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")))
     assert [r["label"] for r in rows.where("tag = 'input'").orderBy("node_seq").collect()] == ["Second First", "T", "Own"]
