@@ -1,10 +1,10 @@
-"""Suffix-array dedup: longest-previous-factor arrays over buckets of text.
+"""Suffix-array dedup, cut down to what a fixed length needs: strings of ``length`` bytes sorted within buckets of text.
 
 A byte goes if a string of ``length`` bytes that covers it also starts earlier. Equal strings have equal
-anchors (see repeats.py), so strings are routed to buckets by anchor, and each bucket's suffix array finds
-what its strings share: suffixes of all segments of a bucket are sorted by prefix doubling, and previous
-and next smaller positions in suffix order say whether the longest previous factor of a string reaches
-``length``. Equal segments are pre-aggregated first, so that a bucket holds each content once, however
+anchors (see repeats.py), so strings are routed to buckets by anchor. Within a bucket the suffixes of all segments are
+sorted by their first ``length`` bytes alone, by prefix doubling, and then by place. No longest-previous-factor array and no previous or
+next smaller positions are built: whether the longest previous factor of a string reaches ``length`` follows from the run of equal
+strings that it stands in. Equal segments are pre-aggregated first, so that a bucket holds each content once, however
 many copies the corpus has. Strings of a bucket with over ``MOST`` contents are compared one by one instead,
 by two 64-bit hashes: equal strings are aggregated before the shuffle, and all but the first are covered.
 """
@@ -51,10 +51,9 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def previous_factors(order: np.ndarray, shares: np.ndarray, d: np.ndarray, h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which strings' longest previous factor reaches the length. Places ascend by (d, h, start), and the
-    sort keeps them ascending among equal strings: a place's previous smaller value in suffix order stands
-    right before it in its run, and its next smaller value is beyond the run and shares less. So a string
-    is repeated if its run begins with a smaller d, or if its own text has it right before."""
+    """Which strings' longest previous factor reaches the length, told without an array of factors: places ascend by (d, h, start), and the
+    sort keeps them ascending among equal strings, so a string is repeated if its run of equal ones begins with a smaller d, or if
+    its own text has it right before."""
     run = np.maximum.accumulate(np.where(shares, 0, np.arange(len(order))))
     before = np.append(order[:1], order[:-1])
     own = shares & (d[order] == d[before]) & (h[order] == h[before]) & (start[order] > start[before])
