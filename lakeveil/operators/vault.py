@@ -55,9 +55,8 @@ def occurrences(detected: DataFrame, session: str = "session_id", unit: str = "u
 def mint(found: DataFrame, session: str = "session_id", unit: str = "unit_seq") -> DataFrame:
     """The vault (session, kind, n, token, value), pre-aggregated by value before any numbering.
 
-    Numbers are dense by session and kind, and no task sorts all values of a session: values are cut by range in mint order, numbered
-    within their piece, and pieces of one session and kind, of which all but the first of each partition's are a partition at most, start
-    where those before them end."""
+    Numbers are dense by session and kind, and no task sorts all values of a session: values are cut by range in mint order and counted
+    by piece (one for each partition that a session and kind lies in), and a piece's numbers go on where those before it end."""
     rank = F.col("field_rank") if "field_rank" in found.columns else F.lit(0)
     place = F.struct(F.col(unit), rank.alias("r"), (-F.col("start")).alias("s"))
     values = found.groupBy(session, "value").agg(F.min(F.struct(place.alias("place"), F.col("kind"))).alias("first"))
