@@ -199,9 +199,9 @@ QUERIES = [
 
 
 def queries() -> dict:
-    from . import field_queries, log_queries, page_queries  # they use this module's sanitize
+    from . import field_queries, log_queries, name_queries, page_queries  # they use this module's sanitize
 
-    return {f.__name__: f for f in [*QUERIES, *field_queries.QUERIES, *page_queries.QUERIES, *log_queries.QUERIES]}
+    return {f.__name__: f for f in [*QUERIES, *field_queries.QUERIES, *page_queries.QUERIES, *log_queries.QUERIES, *name_queries.QUERIES]}
 
 
 def _verhoeff_sql(d: str) -> str:
@@ -270,12 +270,12 @@ def oracle_sql() -> dict[str, str]:
     hit = f"b(k, kind, value) as (values {values}), u as ({turns}), h as (select u.*, b.kind, b.value from u left join b on session_id % {n} = b.k where kind is not null), f as (select * from h union all select u.*, 'AADHAAR', b.value from u join b on session_id % {n} = b.k where b.kind is null and regexp_full_match(b.value, '[2-9][0-9]{{11}}') and {_verhoeff_sql('b.value')} union all select u.*, 'CARD', b.value from u join b on session_id % {n} = b.k where b.kind is null and regexp_full_match(b.value, '[0-9]{{16}}') and {_luhn_sql('b.value', 16)})"
     shown = "case when length(value) <= 4 then repeat('•', greatest(3, length(value))) else value[1:2] || repeat('•', least(12, length(value) - 3)) || value[-1:] end"
     clean = f"{hit}, s as (select u.session_id, u.unit_seq, case when f.value is null then u.text else replace(u.text, f.value, '<PII_' || f.kind || '_1>') end as text from u left join f on u.session_id = f.session_id and u.unit_seq = f.unit_seq)"
-    from . import field_queries, log_queries, page_queries
+    from . import field_queries, log_queries, name_queries, page_queries
 
     decoy = lambda digits, test: f"(kind is null and regexp_full_match(value, '{digits}') and {test})"
     labelled = ", ".join(f"({k}, {'null' if b[2] is None else repr(b[2])}, '{b[1]}', '{b[0]}')" for k, b in enumerate(BLOCKS))
     more = field_queries.oracle_sql(hit, decoy("[0-9]{16}", _luhn_sql("value", 16)), decoy("[2-9][0-9]{11}", _verhoeff_sql("value")), shown, tagged, labelled, n)
-    return more | page_queries.oracle_sql() | log_queries.oracle_sql() | {
+    return more | page_queries.oracle_sql() | log_queries.oracle_sql() | name_queries.oracle_sql(clean) | {
         "r6_sanitized_turns": f"with {clean} select session_id, unit_seq, text from s",
         "r5_vault": f"with {hit} select session_id, kind, count(distinct value) as tokens, count(distinct value)::bigint as last_n from f group by 1, 2",
         "r10_withheld": f"with {hit} select session_id, kind, count(*) as withheld from f group by 1, 2",
