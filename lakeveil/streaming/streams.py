@@ -1,4 +1,4 @@
-"""Streaming forms (ST1 to ST4): the batch operators over streams, with watermarks where there is state."""
+"""Streaming forms (ST1 to ST4, U7): the batch operators over streams, with watermarks where there is state."""
 
 from __future__ import annotations
 
@@ -70,6 +70,41 @@ class SessionVault(StatefulProcessor):
         pass
 
 
+class ThreadFold(StatefulProcessor):
+    """A thread's head as one value: first and last time, the last turn's reason and question, turns and withheld values so far. Turns themselves are
+    passed on, not held, so that the state doesn't grow with a thread. It goes ``quiet_ms`` after a thread's last turn came."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "created_at long, updated_at long, reason string, question string, n long, withheld long", self.quiet_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("at", kind="stable")
+        first, last, reason, question, n, withheld = self.head.get() if self.head.exists() else (None, None, None, None, 0, 0)
+        new = own.iloc[-1]
+        if last is None or new["at"] >= last:  # a turn that comes late doesn't change how the thread stands
+            last, reason, question = int(new["at"]), new["reason"], new["question"]
+        first = int(own["at"].iloc[0]) if first is None else min(first, int(own["at"].iloc[0]))
+        n, withheld = n + len(own), withheld + int(own["withheld"].fillna(0).sum())
+        self.head.update((first, last, reason, question, n, withheld))
+        pending = question if reason in ("ask-user", "needs-user-input") else None
+        turns = [{"at": int(t), "summary": s, "withheld": None if pd.isna(w) else int(w)} for t, s, w in own[["at", "summary", "withheld"]].itertuples(index=False)]
+        yield pd.DataFrame([(key[0], turns, "done" if reason in ("done", "answered") else "open", pending, first, last, n, withheld)], columns=["thread_id", "new_turns", "status", "pending", "created_at", "updated_at", "n_turns", "withheld"])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(turns: DataFrame, quiet: int = 30 * 24 * 3600) -> DataFrame:
+    """U7 over a stream of turns (thread_id, at (long), summary, withheld, reason, question): for each thread and trigger its new turns in order and how it
+    stands after them. The last such row, and the new turns of all, are what ``runs.fold_threads`` gives. A null ``at`` is an error: no place in a thread."""
+    who = turns.schema["thread_id"].dataType.simpleString()
+    told = f"thread_id {who}, new_turns array<struct<at:bigint,summary:string,withheld:bigint>>, status string, pending string, created_at long, updated_at long, n_turns long, withheld long"
+    return turns.groupBy("thread_id").transformWithStateInPandas(ThreadFold(quiet * 1000), told, "Update", "ProcessingTime")
+
+
 #: The state store that map state and timers need; to be set as spark.sql.streaming.stateStore.providerClass.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

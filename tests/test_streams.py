@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lakeveil.operators import vault
+from lakeveil.operators import runs, vault
 from lakeveil.streaming import streams
 
 SCHEMA = "session_id string, unit_seq int, start int, kind string, value string"
@@ -62,3 +62,28 @@ def test_withheld_by_window_as_a_stream(spark, tmp_path):
     query.awaitTermination(180)
     want = {tuple(r) for r in streams.withheld_by_window(events).collect()}
     assert out and set(out) <= want and len(want) - len(out) < 20  # windows behind the watermark are still open
+
+
+def test_threads_folded_as_a_stream(spark, tmp_path):
+    """Three triggers, the last of them with turns that come late, against the fold of all turns."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE)
+    schema = "thread_id string, at long, summary string, withheld long, reason string, question string"
+    reasons = ["open", "ask-user", "done", "needs-user-input", "answered"]
+    every = [(f"t{k % 7}" if k % 11 else None, k, f"s{k}", k % 3 or None, reasons[k % 5], f"q{k}" if k % 5 in (1, 3) else None) for k in range(90)]
+    for nth, part in enumerate((every[:30], every[60:], every[30:60])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{nth}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = []
+    query = streams.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "checkpoint")).foreachBatch(lambda rows, n: out.extend((n, r) for r in rows.collect())).trigger(processingTime="1 second").start()
+    end = time.time() + 60
+    while sum(len(r["new_turns"]) for _, r in list(out)) < len(every) and time.time() < end:
+        time.sleep(0.5)
+    query.stop()  # a stream whose state can expire runs on, with or without rows
+    heads, told = {}, {}
+    for _, r in sorted(out, key=lambda x: x[0]):
+        heads[r["thread_id"]] = (r["status"], r["pending"], r["created_at"], r["updated_at"], r["withheld"])
+        told.setdefault(r["thread_id"], []).extend(tuple(t) for t in r["new_turns"])
+    want = runs.fold_threads(spark.createDataFrame(every, schema)).collect()
+    assert len({n for n, _ in out}) == 3 and heads == {r["thread_id"]: (r["status"], r["pending"], r["created_at"], r["updated_at"], r["withheld"]) for r in want}
+    assert {k: sorted(v) for k, v in told.items()} == {r["thread_id"]: [tuple(t) for t in r["turns"]] for r in want}
