@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lakeveil.operators import patterns
+from lakeveil.operators import elements, patterns, tree
 
 
 def filters(frame):
@@ -16,3 +16,13 @@ def test_a_filter_on_detections_detects_nothing_anew(spark):
     found = patterns.with_detections(units).where(F.size("detections") > 0)
     assert filters(found) and not any("translate" in f or "RLIKE" in f for f in filters(found))
     assert [(d["kind"], d["start"], d["end"]) for r in found.collect() for d in r["detections"]] == [("PAN", 0, 11), ("PAN", 12, 22), ("PAN", 27, 37)]
+
+
+def test_elements_are_described_without_a_join_or_a_shuffle(spark):
+    page = '<form action=" /go "><label for="a">Pay <b>to</b></label><input id="a"><p id="x">one</p><p id="y" hidden>two</p><i aria-labelledby="y x"></i><table><tr><th>Head</th><th>Col</th></tr><tr><td>r</td><td>v</td></tr></table><div aria-label=" some  group "><span>s</span></div></form>'
+    found = elements.described(tree.elements(spark.createDataFrame([(1, "https://a.test/", page)] * 2, "page_id long, url string, html string")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = [(r["tag"], r["label"], r["value"], r["context_label"]) for r in found.collect()]
+    for want in [("input", "Pay to", None, "Pay"), ("i", "two one", None, None), ("td", None, "v", "Col r"), ("span", None, "s", "some group")]:
+        assert rows.count(want) == 2, (want, rows)
