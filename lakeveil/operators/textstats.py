@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 # line of prose, and the bands of the verdict.
 TELLS = "delve, robust, comprehensive, leverage, seamless, crucial, pivotal, testament, landscape, realm, underscore, showcase, holistic, cutting-edge, game-changing, meticulous, intricate, myriad, profound, embark, foster, navigate the, tapestry, in today's, it is worth noting, furthermore, moreover, additionally, in conclusion, vibrant".split(", ")
 CAPTIONS, LEAST_LINE = "^(Figure|Table|Priority|Measure|[0-9])", 45
-BURSTY, FLAT, DASHES = 0.45, 0.25, 1.5
+# The first two are hundredths, of the deviation of sentence lengths in their mean.
+BURSTY, FLAT, DASHES = 45, 25, 1.5
 
 
 def prose(text: Column) -> Column:
@@ -36,7 +37,7 @@ def _commonest(items: Column) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with a text's words, sentences, sentence lengths, punctuation, vocabulary, top
-    opener and flagged words (``tells``). Texts without prose or words (null and empty ones among them) are not in the result; repeated and
+    opener and flagged words (``tells``); ``sum_len`` and ``sum_squares`` of sentence lengths are whole numbers, for comparisons that don't hang on rounding. Texts without prose or words (null and empty ones among them) are not in the result; repeated and
     null ids stay as they are."""
     ids = [c for c in docs.columns if c != text]
     rows = docs.select(*ids, prose(F.coalesce(F.col(text), F.lit(""))).alias("__p")).where("__p <> ''")
@@ -55,6 +56,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         *ids, count("—").alias("em"), count("–").alias("en"), (count("…") + count("...")).alias("ellipsis"), count(";").alias("semis"),
         F.size("__w").cast("long").alias("words"), F.size(F.array_distinct("__w")).cast("long").alias("distinct_words"), once.cast("long").alias("hapax"),
         some(sentences).alias("sentences"), F.col("__mean").alias("mean_len"), some(spread).alias("sd_len"),
+        some(total(F.col("__n")).cast("long")).alias("sum_len"), some(total(F.transform("__n", lambda n: n * n)).cast("long")).alias("sum_squares"),
         some(F.size(F.filter("__n", lambda n: n < 12)).cast("long")).alias("short"), some(F.size(F.filter("__n", lambda n: n > 32)).cast("long")).alias("long"),
         F.col("__top.item").alias("top_opener"), F.col("__top.n").cast("long").alias("opener_count"),
         F.size(F.regexp_extract_all(lower, F.lit("|".join(TELLS)), F.lit(0))).cast("long").alias("tells"),
@@ -62,9 +64,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def verdict(stats: DataFrame) -> DataFrame:
-    """PASS, MID or FLAG by burstiness; flags for dashes, ellipses, flagged words and a repeated opening."""
-    burst = F.coalesce(F.try_divide("sd_len", "mean_len"), F.lit(0.0))
-    band = F.when(burst >= BURSTY, "PASS").when(burst <= FLAT, "FLAG").otherwise("MID")
+    """PASS, MID or FLAG by burstiness; flags for dashes, ellipses, flagged words and a repeated opening. Burstiness is compared in whole
+    numbers: with n sentences, sum a and sum of squares b, (deviation / mean) squared is (n * b - a * a) / (a * a). Without sentences it is zero."""
+    n, a, b = (F.col(c).cast("decimal(18,0)") for c in ("sentences", "sum_len", "sum_squares"))
+    over = lambda bound: (F.lit(10_000).cast("decimal(5,0)") * (n * b - a * a), F.lit(bound * bound).cast("decimal(4,0)") * (a * a))
+    (much, least), (some, most) = over(BURSTY), over(FLAT)
+    band = F.when(F.coalesce("sentences", F.lit(0)) == 0, "FLAG").when(much >= least, "PASS").when(some <= most, "FLAG").otherwise("MID")
     flag = lambda bad: F.when(bad, "FLAG").otherwise("PASS")
     dashes = flag(F.col("em") * 1000 > DASHES * F.col("words"))
     opener = F.when(F.coalesce("opener_count", F.lit(0)) <= F.greatest(F.lit(3), F.floor(F.coalesce("sentences", F.lit(0)) / 25)), "PASS").otherwise("FLAG")

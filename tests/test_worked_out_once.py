@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lakeveil.operators import elements, patterns, tree
+from lakeveil.operators import elements, patterns, textstats, tree
 
 
 def filters(frame):
@@ -26,3 +26,10 @@ def test_elements_are_described_without_a_join_or_a_shuffle(spark):
     rows = [(r["tag"], r["label"], r["value"], r["context_label"]) for r in found.collect()]
     for want in [("input", "Pay to", None, "Pay"), ("i", "two one", None, None), ("td", None, "v", "Col r"), ("span", None, "s", "some group")]:
         assert rows.count(want) == 2, (want, rows)
+
+
+def test_burstiness_at_its_bounds_is_told_in_whole_numbers(spark):
+    # Mean 20: deviation 9 is 0.45 of it, as rounded as 0.44999999999999996 or not; 5 is 0.25 of it; 0 without sentences.
+    rows = [(1, 2, 40, 962), (2, 2, 40, 850), (3, 2, 40, 852), (4, None, None, None), (5, 3, 60, 1443), (6, 3, 60, 1442)]
+    stats = spark.createDataFrame(rows, "id int, sentences bigint, sum_len bigint, sum_squares bigint").selectExpr("*", "sqrt(sum_squares / sentences - 400) - 1e-12 as sd_len", "20.0D as mean_len", "0L as em", "9L as words", "0L as opener_count", "0L as ellipsis", "0L as tells")
+    assert {r["id"]: r["burstiness_band"] for r in textstats.verdict(stats).collect()} == {1: "PASS", 2: "FLAG", 3: "MID", 4: "FLAG", 5: "PASS", 6: "MID"}
