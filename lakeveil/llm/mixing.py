@@ -127,16 +127,15 @@ def calibrated(features: np.ndarray, domain: np.ndarray, prior: list[float], rid
 
 
 def _scores(rows: DataFrame, model: DomainModel, row_key: list[str]) -> DataFrame:
-    """``row_key``, tokens, __u (different features) and __s0, ... (sums of the telling words' weights) of rows with __n and __own."""
-    d = len(model.domains)
-    rows = rows.select(*row_key, "__n", F.size("__own").alias("__u"), F.array_intersect("__own", _constant(model.buckets, "int")).alias("__told"))
-    rows = rows.select(*row_key, "__n", "__u", F.posexplode_outer("__told").alias("__at", "__bucket"))
-    names = ["__bucket", *(f"__w{k}" for k in range(d))]
-    table = [_constant(model.buckets, "int"), *(_constant(w, "double") for w in model.weights)]
-    weights = rows.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(table, names))).select(F.inline(F.arrays_zip(*names)))  # most_words rows at most
-    rows = rows.join(F.broadcast(weights), "__bucket", "left")
-    once = lambda c: F.sum(F.when(F.coalesce("__at", F.lit(0)) == 0, F.col(c)))
-    return rows.groupBy(*row_key).agg(once("__n").alias("tokens"), once("__u").alias("__u"), *(F.coalesce(F.sum(f"__w{k}"), F.lit(0.0)).alias(f"__s{k}") for k in range(d))).where("tokens > 0")
+    """``row_key``, tokens, __u (different features) and __s0, ... (sums of the telling words' weights) of rows with __n and __own.
+
+    A row's weights are added up where it is read, from literals of ``most_words`` values at most: no row is made for a word."""
+    buckets = _constant(model.buckets, "int")
+    told = rows.select(*row_key, "__n", F.size("__own").alias("__u"), F.array_intersect("__own", buckets).alias("__told"))
+    told = told.select(*row_key, "__n", "__u", F.transform("__told", lambda b: F.array_position(buckets, b).cast("int")).alias("__at"))
+    own = lambda w: F.aggregate("__at", F.lit(0.0), lambda done, k: done + F.element_at(_constant(w, "double"), k))
+    sums = told.select(*row_key, "__n", "__u", *(own(w).alias(f"__s{k}") for k, w in enumerate(model.weights)))
+    return sums.groupBy(*row_key).agg(F.sum("__n").alias("tokens"), F.sum("__u").alias("__u"), *(F.sum(f"__s{k}").alias(f"__s{k}") for k in range(len(model.domains)))).where("tokens > 0")
 
 
 def posteriors(docs: DataFrame, model: DomainModel, row_key: list[str], text: str = "text") -> DataFrame:

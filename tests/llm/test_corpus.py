@@ -268,6 +268,20 @@ def test_mixing_needs_only_the_words_that_tell(spark):
     assert all(v >= 1 for k, v in rates.items() if k % 5 > 1) and all(v < 0.6 for k, v in rates.items() if k % 5 == 0)
 
 
+def test_mixing_makes_no_row_for_a_telling_word(spark):
+    """The rows that scoring makes don't grow with how often telling words stand in the texts."""
+    model = mixing.DomainModel(["a", "b"], [-0.7, -0.7], list(range(1, 1 << mixing.BITS, 33)), [[0.5] * 1986, [-0.25] * 1986], [0.0, 0.0])
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(500))) for k in range(3)] + [(1, "again"), (7, None)], "doc_id long, text string")
+    got = mixing.posteriors(docs, model, ["doc_id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    hashes = spark.range(500).select(F.pmod(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))), F.lit(1 << mixing.BITS)).alias("b"))
+    told = hashes.where((F.col("b") > 0) & (F.pmod(F.col("b") - 1, F.lit(33)) == 0)).distinct().count()
+    rows = {r["doc_id"]: (r["tokens"], r["posterior"][0]) for r in got.collect()}
+    assert set(rows) == {0, 1, 2} and rows[1][0] == 501 and told > 5
+    assert abs(rows[0][1] - 1 / (1 + np.exp(-0.75 * told))) < 1e-9
+
+
 def edit_distance(item, passage):
     row = [0] * (len(passage) + 1)
     for i, a in enumerate(item, 1):
