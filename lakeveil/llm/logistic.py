@@ -1,4 +1,4 @@
-"""Small dense fits in numpy, on samples whose size the callers bound by a parameter."""
+"""Small dense fits in numpy, on samples or counts whose size the callers bound."""
 
 from __future__ import annotations
 
@@ -38,16 +38,24 @@ def fit_sparse(row: np.ndarray, column: np.ndarray, value: np.ndarray, target: n
 
 
 def platt(z: np.ndarray, target: np.ndarray, steps: int = 300) -> tuple[float, float]:
-    """a and b of the calibrated probability sigmoid(a * z + b), with Platt's smoothed targets."""
+    """a and b of the calibrated probability sigmoid(a * z + b), with Platt's smoothed targets. ``target`` says 0 or 1 of each of ``z``, or how many of
+    both stand there (two columns)."""
     if not len(z):
         return 1.0, 0.0
-    up, down = target.sum(), len(target) - target.sum()
-    goal = np.where(target > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    mean, scale = z.mean(), z.std() or 1.0
+    if target.ndim == 2:
+        times, up, down = target.sum(axis=1), target[:, 1].sum(), target[:, 0].sum()
+        goal = (target[:, 1] * (up + 1) / (up + 2) + target[:, 0] / (down + 2)) / times
+        mean = (times * z).sum() / times.sum()
+        scale = np.sqrt((times * (z - mean) ** 2).sum() / times.sum()) or 1.0
+        share = times / times.sum()
+    else:
+        up, down = target.sum(), len(target) - target.sum()
+        goal = np.where(target > 0, (up + 1) / (up + 2), 1 / (down + 2))
+        mean, scale, share = z.mean(), z.std() or 1.0, 1 / len(z)
     part = [np.array([1.0, 0.0])]
     adam, x = Adam(part, 0.05), (z - mean) / scale
     for _ in range(steps):
-        slope = (sigmoid(part[0][0] * x + part[0][1]) - goal) / len(x)
+        slope = (sigmoid(part[0][0] * x + part[0][1]) - goal) * share
         adam.step([np.array([(slope * x).sum(), slope.sum()])])
     a = max(part[0][0], 1e-3) / scale
     return float(a), float(part[0][1] - a * mean)
