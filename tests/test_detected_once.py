@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lakeveil.operators import patterns
+from lakeveil.operators import patterns, vault
+from lakeveil.plans import field_queries, score
+from lakeveil.plans.holdout import BLOCKS, block, inject
+from lakeveil.plans.queries import sanitize
 
 
 def test_folding_is_guarded_and_changes_what_it_did(spark):
@@ -23,3 +26,20 @@ def test_no_whole_text_is_asked_for_scarce_parts(spark):
     assert sorted(len(r["detections"]) for r in found.collect()) == [0, 0, 1]
     asked = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE(__folded" in asked.replace("#", "") and not any("__folded" in part[:20] and patterns.PROMISING[:12] in part[:40] for part in asked.split("RLIKE(")[1:])
+
+
+def texts(spark):
+    rows = [(k, None if k == 5 else f"order {k} and {BLOCKS[k % len(BLOCKS)][1]} again\nABCPE1234F here\n") for k in range(30)] + [(None, "x"), (7, "same id")]
+    return inject(spark.createDataFrame([(k, 0, t) for k, t in rows], "session_id bigint, unit_seq int, text string").repartition(3))
+
+
+def test_judged_lines_are_those_of_whole_texts(spark, monkeypatch):
+    units, seen = texts(spark), []
+    truth = units.select(F.col("session_id").alias("name"), F.lit("injected").alias("id"), block(F.col("session_id"), 2).alias("kind"), block(F.col("session_id"), 1).alias("value")).withColumn("redact", F.col("kind").isNotNull())
+    whole = sanitize(units)[0].select(F.col("session_id").alias("name"), F.lit("injected").alias("id"), F.element_at(F.split("text", "\n"), -1).alias("text"))
+    told = lambda frame: sorted(((r["name"] if r["name"] is not None else -1, r["value"] or "", r["redact"], r["outcome"]) for r in frame.collect()))
+    want = told(score.outcomes(truth, whole))
+    real = vault.apply_tokens
+    monkeypatch.setattr(vault, "apply_tokens", lambda units, *rest: seen.append(units) or real(units, *rest))
+    assert told(field_queries.judged(units)) == want and {"tp", "tn"} <= {o for *_, o in want}
+    assert seen[0].agg(F.max(F.length("text"))).first()[0] <= max(len(f"{a}: {b}") for a, b, _ in BLOCKS)
