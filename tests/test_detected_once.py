@@ -43,3 +43,12 @@ def test_judged_lines_are_those_of_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(vault, "apply_tokens", lambda units, *rest: seen.append(units) or real(units, *rest))
     assert told(field_queries.judged(units)) == want and {"tp", "tn"} <= {o for *_, o in want}
     assert seen[0].agg(F.max(F.length("text"))).first()[0] <= max(len(f"{a}: {b}") for a, b, _ in BLOCKS)
+
+
+def test_payloads_detect_once(spark, tmp_path):
+    rows = [(1, 0, "user", "my PAN is ABCPE1234F"), (1, 1, "assistant", None), (1, 1, "user", "again ABCPE1234F"), (1, 1, "user", "again ABCPE1234F"), (None, 0, "user", "call 9876543210"), (2, None, "user", "999999999999")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = field_queries.r9_payloads(spark, str(tmp_path))
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    payloads = {r["session_id"]: r["payload"] for r in found.collect()}
+    assert set(payloads) == {1, 2, None} and payloads[1].count("<PII_PAN_1>") == 3 and "ABCPE1234F" not in "".join(payloads.values())
