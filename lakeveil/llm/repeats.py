@@ -145,11 +145,13 @@ def sort_out(found: DataFrame, within: bool) -> DataFrame:
     """Segments that matter: ``covered`` (equal to one of a smaller d or, if ``within``, to one before in
     the same text) or ``shared``, the number of segments of different content at the anchor of a first
     segment, where there are two or more."""
+    found = found.where("content is not null")  # none is; said once, so that all that reads it reads the same
     firsts = found.groupBy("content").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times"), F.min("anchor").alias("anchor"))
-    anchors = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
-    known = firsts.join(anchors, "anchor", "left").where("times > 1 or shared > 1").select("content", "first", "shared")
+    # Both sides ask for all columns of the firsts: so their exchange is one, made once and read twice.
+    anchors = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("shared"), F.max("times").alias("most"), F.max("first").alias("last")).where("shared > 1 and most > 0 and last is not null").select("anchor", "shared")
+    known = firsts.join(anchors, "anchor", "left").where("times > 1 or shared > 1").select("content", "first", "shared", "anchor")
     covered = (F.col("d") > F.col("first")) | (F.col("own") if within else F.lit(False))
-    joined = found.join(known, "content")
+    joined = found.drop("anchor").join(known, "content")
     return joined.select("d", "h", "start", "n", "anchor", covered.alias("covered"), F.col("shared")).where("covered or shared is not null")
 
 

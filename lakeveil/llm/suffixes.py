@@ -110,7 +110,7 @@ def _repeated_singles(wanted: DataFrame, kind: Windows) -> DataFrame:
                 own = place > place[np.maximum.accumulate(np.where(opens, np.arange(len(row)), 0))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row + lo]), pa.array(texts[row + lo]), pa.array((place - o[row]).astype(np.int32)), pa.array(k0), pa.array(k1), pa.array(own)], names=["d", "h", "start", "k0", "k1", "own"])
 
-    singles = durable(wanted.mapInArrow(deal, "d bigint, h bigint, start int, k0 bigint, k1 bigint, own boolean"))
+    singles = wanted.mapInArrow(deal, "d bigint, h bigint, start int, k0 bigint, k1 bigint, own boolean")  # read twice, made twice: see drop_repeats
     firsts = singles.groupBy("k0", "k1").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     return singles.join(firsts, ["k0", "k1"]).where("own or d > first").select("d", "h", "start", F.lit(1).alias("n"))
 
