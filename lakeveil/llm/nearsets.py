@@ -4,9 +4,9 @@ SimHash can't carry such a link: at a similarity of 0.8 fingerprints differ in a
 and a multi-index for so many bits would compare nearly all pairs. So:
 
 1. texts with one set of shingles (64-bit hashes of lower-cased words) are one node;
-2. ``BANDS`` bands of ``ROWS`` least hashes bring nodes together: of pairs at 0.8 one in 300,000 meets nowhere, of
-   closer ones fewer; pairs whose ``BANDS * ROWS`` sketch bits differ in over ``MOST_BITS`` are passed over, which
-   loses about one in a million at 0.8;
+2. ``BANDS`` bands of ``ROWS`` least hashes bring nodes together: of pairs at exactly 0.8 three in a million meet nowhere, of
+   closer ones fewer, and such a pair is only linked through others. Pairs whose ``BANDS * ROWS`` sketch bits differ in over ``MOST_BITS`` are
+   left to the second part of step 3, which compares them whatever their bits;
 3. the others are verified over their whole sets, exactly: first each node against the least one of its bands;
    then, in bands whose nodes are still in different components, all pairs that lie in different ones. A task
    compares the sets of a band, held as 32-bit hashes, and says only which pairs join components: fewer than it
